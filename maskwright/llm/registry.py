@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from maskwright.llm import mixing, quality, topk, url_filter
+from maskwright.llm import mixing, near_dedup, quality, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_topk": topk.query_topk,
         "op2_source_mixing": mixing.query_mixing,
+        "op3_near_dedup": near_dedup.query_near_dedup,
         "op4_url_filter": url_filter.query_urls,
         "op5_quality_rules": quality.query_quality,
     }
@@ -18,6 +19,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_topk": topk.TOPK_SQL,
         "op2_source_mixing": mixing.MIXING_SQL,
+        "op3_near_dedup": near_dedup.NEAR_SQL,
         "op4_url_filter": url_filter.urls_sql(),
         "op5_quality_rules": quality.QUALITY_SQL,
     }
