@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskwright.llm import mixing, near_dedup, quality, topk, url_filter
+from maskwright.llm import lang_id, mixing, near_dedup, packing, quality, substring_dedup, topk, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,9 @@ def queries() -> dict:
         "op3_near_dedup": near_dedup.query_near_dedup,
         "op4_url_filter": url_filter.query_urls,
         "op5_quality_rules": quality.query_quality,
+        "op6_substring_dedup": substring_dedup.query_substring_dedup,
+        "op7_best_fit_packing": packing.query_packing,
+        "op8_language_id": lang_id.query_lang_id,
     }
 
 
