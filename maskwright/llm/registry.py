@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskwright.llm import lang_id, mixing, near_dedup, packing, quality, substring_dedup, topk, url_filter
+from maskwright.llm import lang_id, license_scan, mixing, near_dedup, packing, quality, substring_dedup, topk, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op6_substring_dedup": substring_dedup.query_substring_dedup,
         "op7_best_fit_packing": packing.query_packing,
         "op8_language_id": lang_id.query_lang_id,
+        "op9_licence_scan": license_scan.query_licences,
+        "op10_warc_bundles": warc.query_warc,
     }
 
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_dedup": near_dedup.NEAR_SQL,
         "op4_url_filter": url_filter.urls_sql(),
         "op5_quality_rules": quality.QUALITY_SQL,
+        "op10_warc_bundles": warc.WARC_SQL,
     }
