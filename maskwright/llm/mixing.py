@@ -92,13 +92,13 @@ def plan_mix(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] =
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document's row as often as the plan takes it."""
-    sized = stage(docs.withColumn("__size", word_count(F.col("text"))).withColumn("__row", F.monotonically_increasing_id()), "mix")
-    plan = plan_mix(sized.select("doc_id", "source", F.col("__size").alias("size"), "__row"), keep=("__row",), **options)
+    """The mix itself: every document's row, with all its columns, as often as the plan takes it."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = stage(whole.withColumn("__id", F.monotonically_increasing_id()), "mix")
+    plan = plan_mix(sized.select("doc_id", "source", "size", "__id"), keep=("__id",), **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    times = plan.select("__row", times.alias("__times")).filter("__times > 0")
-    rows = sized.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.select(*docs.columns)
+    times = plan.select("__id", times.alias("__times")).filter("__times > 0")
+    return sized.select("__row", "__id").join(times, "__id").select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 
 
 def query_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.llm._store import prepare
 
@@ -119,17 +120,17 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     """The columns in keep, the seven figures, base_failed and kept, per row."""
     prepare(docs.sparkSession)
     part = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:-1])
-    found = part.mapInArrow(_judge, f"{schema}, {_COLUMNS}")
+    schema = T.StructType([*part.schema.fields[:-1], *T.StructType.fromDDL(_COLUMNS).fields])
+    found = part.mapInArrow(_judge, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_WORDS * F.col("n_words"))
     worn = (100 * F.col("n_covered_words") > MAX_COVERED * F.col("n_words")) | (F.col("longest_repeat") >= LONGEST)
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~worn)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows whose text passes, with all their columns."""
-    names = docs.columns
-    return judge(docs.withColumn("__copy", F.col("text")), "__copy", tuple(names)).filter("kept").select(*names)
+    """The rows whose text passes, with all their columns, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+    return judge(whole, "text", ("__row",)).filter("kept").select("__row.*")
 
 
 def query_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
