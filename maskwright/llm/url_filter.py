@@ -34,28 +34,34 @@ BUCKETS = 1024
 GRAMS = (3, 4)
 SCALE = 1_000_000
 MAX_LABELLED = 512
-#: Positive: blocked. Invented addresses of the kinds that crawls hold.
-BLOCKED = (
-    "http://casino-bonus.example.info/slots/free-spins", "http://win-cash.example.biz/claim/prize", "http://cheap-pills.example.biz/buy/online",
-    "https://best-loans.example.info/apply/now?aff=1", "http://xxx-video.example.biz/watch/hot", "http://adult-cams.example.info/live/xxx",
-    "http://free-download.example.biz/crack/keygen", "http://torrent-hub.example.info/crack/serial", "http://click-ads.example.biz/redirect/track",
-    "http://tracker.example.info/pixel/click/redirect", "http://casino-royal.example.biz/poker/bonus", "http://poker-win.example.info/bonus/claim",
-    "http://pills-shop.example.biz/viagra/cheap", "http://replica-watch.example.info/cheap/buy", "http://hot-singles.example.biz/adult/dating",
-    "http://escort-list.example.info/adult/xxx", "http://bet-now.example.biz/sports/betting/bonus", "http://slots-club.example.info/casino/jackpot",
-    "http://earn-cash.example.biz/work/from/home/win", "http://crypto-double.example.info/claim/free/cash", "http://warez-land.example.biz/keygen/crack",
-    "http://spam-links.example.info/seo/backlinks/buy", "http://buy-followers.example.biz/cheap/likes", "http://payday-loans.example.info/apply/cash",
-)
-ALLOWED = (
-    "https://www.example.org/en/1024", "https://news.example.org/articles/science/2021", "https://docs.example.org/guide/install.html",
-    "https://blog.example.net/fr/2310", "https://www.example.net/en/8812.html", "https://university.example.org/research/papers",
-    "https://library.example.org/catalog/books", "https://museum.example.net/en/collection", "https://wiki.example.org/wiki/History",
-    "https://forum.example.net/en/thread/4411?page=2", "https://shop.example.net/fr/products/77", "https://gov.example.org/reports/annual.html",
-    "https://weather.example.net/es/forecast", "https://school.example.org/de/lessons/12", "https://health.example.org/fr/advice/",
-    "https://code.example.net/en/projects/90#top", "https://recipes.example.org/en/soup/3311", "https://travel.example.net/es/guides/14",
-    "https://www.example.info/de/archive/1999", "https://music.example.org/fr/albums/8", "https://maps.example.net/en/cities/221/",
-    "https://journal.example.org/de/issue/5", "https://sports.example.net/en/results/61", "https://www.example.biz/en/contact.html",
-)
-LABELLED = tuple((u, 1) for u in BLOCKED) + tuple((u, 0) for u in ALLOWED)
+_BAD = (
+    "casino poker bonus jackpot slots viagra pills cheap replica loans payday adult cams escort dating crack keygen warez torrent serial spam backlinks followers claim prize "
+    "win-cash betting tracker click-ads pixel redirect popunder"
+).split()
+_GOOD = (
+    "news articles science guide docs library books museum wiki history forum thread products reports weather school lessons health advice code projects recipes travel cities "
+    "archive music albums maps journal issue sports results contact research papers university"
+).split()
+_LANGS, _ENDS = ("en", "de", "fr", "es"), ("org", "net", "com", "info", "biz")
+
+
+def _invented(words: list[str], label: int, rows: int) -> tuple[tuple[str, int], ...]:
+    """Addresses of a kind: hosts and paths from its words, in the shapes that crawls hold."""
+    n, out = len(words), []
+    for i in range(rows):
+        a, b, c = words[i % n], words[(7 * i + 3 + i // n) % n], words[(11 * i + 5 + 3 * (i // n)) % n]
+        end, lang = _ENDS[i % 5], _LANGS[i // 5 % 4]
+        out.append((f"http{'s' * (i % 2)}://{a}.example.{end}/{b}/{c}", f"http://www.{a}-{b}.example.{end}/{c}?id={i}", f"https://{b}.example.{end}/{lang}/{c}/{100 + 37 * i}.html", f"http://{c}{i % 9}.example.{end}/{a}-{b}/")[i % 4])
+    return tuple((u, label) for u in out)
+
+
+def _plain(rows: int) -> tuple[tuple[str, int], ...]:
+    """Ordinary numbered pages, allowed."""
+    return tuple((f"https://{w}.example.{_ENDS[i % 5]}/{_LANGS[i % 4]}/{1000 + 311 * i}{('', '/', '.html', '#top')[i % 4]}", 0) for i, w in enumerate(("www", "blog", "shop", "site", "press", "home") * (rows // 6)))
+
+
+#: (url, 1 if it is to be blocked): invented addresses, at most MAX_LABELLED rows of which are used.
+LABELLED = _invented(_BAD, 1, 132) + _invented(_GOOD, 0, 132) + _plain(66)
 
 
 def host_of(url: Column) -> Column:
@@ -86,7 +92,7 @@ def _parts(url: str) -> tuple[str, str]:
 
 
 @lru_cache(maxsize=4)
-def fit(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[int, ...]:
+def fit(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 200, rate: float = 8.0, decay: float = 1e-4) -> tuple[int, ...]:
     """Integer weights by bucket, and the intercept as the last one, by gradient descent."""
     rows = []
     for url, y in labelled[:MAX_LABELLED]:
