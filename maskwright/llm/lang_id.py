@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.llm._store import prepare, stage
 
@@ -114,7 +115,9 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     vectors = picked.mapInArrow(_vectors, "lang string, vector array<long>")
     sums = vectors.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", F.col("v.x").alias("v")).orderBy("lang").collect()
-    matrix = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
+    if not rows:
+        return [], np.empty((0, WIDTH))
+    matrix = np.array([r["v"] for r in rows], np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return [r["lang"] for r in rows], matrix / np.where(norms == 0, 1, norms)
 
@@ -123,8 +126,8 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: tup
     """The columns in keep with lang_pred and score."""
     prepare(docs.sparkSession)
     part = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:-1])
-    return part.mapInArrow(_judge(langs, prototypes), f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*part.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return part.mapInArrow(_judge(langs, prototypes), schema)
 
 
 def held_out():

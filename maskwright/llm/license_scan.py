@@ -5,8 +5,8 @@ sparse TF-IDF vectors over their words. Document frequencies of the templates'
 words are counted over all files; a word outside the templates only adds to a
 unit's norm, with the weight of a word seen nowhere. A unit shares postings with a
 template or is skipped. The best unit's template is the file's own licence if its
-cosine reaches ``LEAST``. A licence file (by name, or a short text whose whole is
-one) licenses its directory; files without a licence of their own inherit from the
+cosine reaches ``LEAST``. A licence file (by name or, on request, a short text that
+is one as a whole) licenses its directory; files without a licence of their own inherit from the
 nearest ancestor directory that has one, found by joining on every ancestor path.
 
 Defined cases: null or empty texts have no licence of their own and may inherit; a
@@ -145,15 +145,18 @@ def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
-def scan_licences(files: DataFrame) -> DataFrame:
-    """(id, path, own_licence, score, licence, licence_dir) of every row of files (id, path, text)."""
+def scan_licences(files: DataFrame, by_text: bool = False) -> DataFrame:
+    """(id, path, own_licence, score, licence, licence_dir) of every row of files (id, path, text).
+
+    by_text: a short file whose whole text is a licence is a licence file, whatever its name.
+    """
     prepare(files.sparkSession)
     counts = files.select("text").mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = {r["term"]: r["n"] for r in counts.collect()}  # a row for each word of the templates
     total = found.pop("", 0)
     scanned = stage(files.select("id", "path", "text").mapInArrow(_scan(found, total), "id long, path string, own string, score double, whole boolean"), "licences")
     base = F.regexp_extract(F.col("path"), r"(?s)([^/]*)$", 1)
-    holders = scanned.filter(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("whole") | base.rlike(NAMES)))
+    holders = scanned.filter(F.col("own").isNotNull() & F.col("path").isNotNull() & ((F.col("whole") & F.lit(by_text)) | base.rlike(NAMES)))
     dirs = holders.groupBy(parent(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "own")).alias("best"))
     dirs = dirs.select("dir", F.col("best.own").alias("dir_licence"))
     # Directories of all files, each once, meet the licensed ones on every ancestor.
@@ -172,4 +175,4 @@ def query_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = docs.select(F.col("doc_id").cast("long").alias("id"), path.alias("path"), "text")
-    return scan_licences(files).withColumnRenamed("id", "doc_id")
+    return scan_licences(files, by_text=True).withColumnRenamed("id", "doc_id")
