@@ -52,7 +52,7 @@ class Config:
         object.__setattr__(self, "exclude", tuple(x if x in VARIANTS or x.startswith('Custom("') else by_name(x) for x in self.exclude))
         object.__setattr__(self, "allow", tuple(x for x in self.allow if x))
         object.__setattr__(self, "deny", tuple(x for x in self.deny if x))
-        if self.only is not None and not self.detectors():
+        if not self.registry():
             raise ConfigError("no detectors")
 
     def registry(self) -> tuple[Detector, ...]:
