@@ -187,10 +187,9 @@ def audit_paths(root: str) -> list[str]:
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, format, value, skipped) of a list of files; those with NUL bytes or invalid UTF-8 are skipped."""
     files = spark.read.format("binaryFile").load(paths)
-    bad = (F.instr(F.hex("content"), "00") > 0) & (F.length(F.regexp_replace(F.hex("content"), "(?:(?!00)..)*", "")) > 0)
-    text = F.when(~F.is_valid_utf8(F.col("content").cast("string")), F.lit(True)).otherwise(bad)
+    skipped = F.contains("content", F.lit(b"\0")) | ~F.is_valid_utf8(F.col("content").cast("string"))
     path = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(path.alias("path"), format_of(F.col("path")).alias("format"), F.when(~text, F.col("content").cast("string")).alias("value"), text.alias("skipped"))
+    return files.select(path.alias("path"), format_of(F.col("path")).alias("format"), F.when(~skipped, F.col("content").cast("string")).alias("value"), skipped.alias("skipped"))
 
 
 __all__ = ["audit_paths", "csv_cells", "join_lines", "lines", "located_findings", "mask_columns", "read_csv", "read_files", "read_text", "resolve", "scan_documents", "scan_lines", "scan_log_lines"]
