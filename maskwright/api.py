@@ -56,12 +56,15 @@ def _text(value: str, name: str = "text") -> str:
 class _Configured:
     __slots__ = ("config",)
 
-    def __init__(self, *, locale: str = "universal", min_confidence: float = 0.0, exclude_entities: Sequence[str] = (), allow_list: Sequence[str] = (), deny_list: Sequence[str] = (), strategy: Strategy = REDACT) -> None:
-        if locale.lower() not in _LOCALES:
+    def __init__(self, strategy: Strategy = REDACT, **options) -> None:
+        """Options: locale (universal), min_confidence (0.0), exclude_entities, allow_list, deny_list (none)."""
+        if set(options) - {"locale", "min_confidence", "exclude_entities", "allow_list", "deny_list"}:
+            raise TypeError(f"unknown options: {sorted(options)}")
+        locale = options.get("locale", "universal").lower()
+        if locale not in _LOCALES:
             raise ConfigError("unknown locale")
-        self.config = Config(
-            _LOCALES[locale.lower()], min_confidence, _words(exclude_entities, "exclude_entities"), _words(allow_list, "allow_list"), _words(deny_list, "deny_list"), strategy,
-        )
+        lists = [_words(options.get(k, ()), k) for k in ("exclude_entities", "allow_list", "deny_list")]
+        self.config = Config(_LOCALES[locale], options.get("min_confidence", 0.0), *lists, strategy)
 
     def __repr__(self) -> str:
         return f"{type(self).__name__}()"
@@ -88,7 +91,7 @@ class Mapping:
 
     __slots__ = ("_entries",)
 
-    def __init__(self, entries: Sequence[dict]) -> None:
+    def __init__(self, entries: Sequence[dict], /) -> None:
         self._entries = tuple(entries)
 
     @classmethod
@@ -124,14 +127,16 @@ class Mapping:
     def style(self) -> str:
         return "braces" if self._entries and self._entries[0]["placeholder"].startswith("{") else "brackets"
 
-    def restore(self, text: str, *, strict: bool = False) -> str:
+    def restore(self, text: str, strict: bool = False) -> str:
+        """Put originals back; strict asks for placeholders exactly as given."""
         return resolve.restore(_text(text), ((e["placeholder"], e["original"]) for e in self._entries), strict)
 
     def __len__(self) -> int:
         return len(self._entries)
 
     def __repr__(self) -> str:
-        return f"Mapping(entries={len(self._entries)})"
+        n = len(self)
+        return f"Mapping(entries={n})"
 
     def __reduce__(self):
         raise TypeError("a mapping holds original values; export it with to_json()")
@@ -142,7 +147,7 @@ class Sanitizer(_Configured):
 
     __slots__ = ()
 
-    def sanitize(self, text: str, *, placeholder_style: str = "brackets") -> tuple[str, Mapping]:
+    def sanitize(self, text: str, placeholder_style: str = "brackets") -> tuple[str, Mapping]:
         if placeholder_style not in ("brackets", "braces"):
             raise ValueError("placeholder_style must be brackets or braces")
         found = self.config.findings(_text(text))

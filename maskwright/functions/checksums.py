@@ -78,7 +78,7 @@ def _dihedral(a: int, b: int) -> int:
 
 def _permuted(times: int, x: int) -> int:
     for _ in range(times):
-        x = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)[x]
+        x = int("1576283094"[x])
     return x
 
 

@@ -16,6 +16,19 @@ from maskwright.functions import checksums as ck
 from maskwright.functions.context import ALNUM, Window, adjustment, ascii_lower, clamp, free
 
 A, HEX = "A-Za-z0-9", "0-9A-Fa-f"
+#: Parts of patterns by name, for ``rx``.
+_PARTS = {
+    "<b>": r"\b", "<d>": r"\d", "<s>": r"\s", "<AN>": A, "<HX>": HEX, "<cap>": "[A-Z]", "<dd>": r"\d{2}", "<ddd>": r"\d{3}", "<dddd>": r"\d{4}", "<octet>": r"\d{1,3}", "<sep>": r"[\s.-]?", "<gap>": "[ -]?",
+    "<UD>": "A-Z0-9", "<58>": "1-9A-HJ-NP-Za-km-z", "<32>": "ac-hj-np-zAC-HJ-NP-Z02-9",
+}
+
+
+def rx(pattern: str) -> re.Pattern:
+    for name, part in _PARTS.items():
+        pattern = pattern.replace(name, part)
+    return re.compile(pattern)
+
+
 WORDISH = ALNUM | frozenset("_-")
 NAMEISH = ALNUM | frozenset("_")
 
@@ -45,7 +58,7 @@ def _terms(listed: str) -> tuple[str, ...]:
 
 def _detector(id_, kind, patterns, check, base, terms="", *, locales=(), before=WORDISH, after=None, needs=None, own_span=False, trim=None, more=None, window=None, shown=None):
     """A detector by patterns. ``base`` gives the confidence of a candidate before context."""
-    rules = [re.compile(p) if isinstance(p, str) else p for p in patterns]
+    rules = [rx(p) if isinstance(p, str) else p for p in patterns]
     words = _terms(terms) if terms else ()
     # Cheap tests that no text with a candidate fails, for all patterns or for each.
     whole, each = (None, needs) if isinstance(needs, tuple) else (needs, (None,) * len(rules))
@@ -93,7 +106,9 @@ def _no_digit_beyond(separators: str):
 
 # Email ----------------------------------------------------------------------
 _LABEL = rf"[{A}](?:[{A}-]{{0,61}}[{A}])?"
-_EMAIL = re.compile(rf'(?:"[^"\r\n]+"|[{A}' + re.escape(".!#$%&'*+=?^_`{|}~-") + rf"]+)@(?:{_LABEL}\.)+[A-Za-z]{{2,63}}")
+_ATEXT = "[" + A + re.escape("-~}|{`_^?=+*'&%$#!.") + "]+"
+_QUOTED = '"' + r"[^\"\r\n]+" + '"'
+_EMAIL = re.compile("(?:" + "|".join((_QUOTED, _ATEXT)) + rf")@(?:{_LABEL}\.)+[A-Za-z]{{2,63}}")
 _EMAIL_TERMS = _terms("contact|email|contact:|mail:|e-mail:|email:")
 _BEFORE_MAIL = NAMEISH | {"/"}
 
@@ -128,10 +143,7 @@ def scan_email(text: str) -> list[Finding]:
 
 
 # Phone ----------------------------------------------------------------------
-_PHONES = (
-    re.compile(r"\+\d{1,3}[\s.-]?" + r"(?:\(\d{2,4}\)|\d{1,4})" + r"(?:[\s.-]?\d{2,6}){2,4}\b"),
-    re.compile(r"(?:\(\d{3}\)\s*|\b\d{3}[-. ])" + r"\d{3}[-. ]\d{4}\b"),
-)
+_PHONES = (rx(r"\+<octet><sep>(?:\(<d>{2,4}\)|<d>{1,4})(?:<sep><d>{2,6}){2,4}<b>"), rx(r"(?:\(<ddd>\)<s>*|<b><ddd>[-. ])<ddd>[-. ]<dddd><b>"))
 _PHONE_TERMS = _terms("sms|text|dial|fax|cell|mobile|tel|tel:|phone|call")
 
 
@@ -181,7 +193,7 @@ _INTERNAL = frozenset("cluster svc k8s intranet private corp lan local internal"
 _INFRA = "ip test dev prod staging queue lb proxy api app web cache redis db worker node server".split()
 _CLOUD = tuple(tuple(x.split(".")) for x in "elasticbeanstalk.com cloudfront.net rds.amazonaws.com svc.cluster.local k8s.local compute.internal ec2.internal".split())
 _PUBLIC = frozenset("gov edu io net org com".split())
-_MACHINE = re.compile(r"\b(?:WORKSTATION|PC|WIN|LAPTOP|DESKTOP)-[A-Z0-9]{6,10}\b")
+_MACHINE = rx("<b>(?:WORKSTATION|PC|WIN|LAPTOP|DESKTOP)-[A-Z0-9]{6,10}<b>")
 _DOMAIN = re.compile(r"(?i)\b" + _LABEL.replace("A-Z", "") + r"(?:\." + _LABEL.replace("A-Z", "") + r")+\b")
 _DOTTED = re.compile(r"(?i)[a-z0-9]\.[a-z0-9]")
 _HOST_TERMS = _terms("upstream|remote_host|server_addr|server_name|host:|ssh|ping|nslookup|dns|resolved|connected to|connecting to|machine|instance|node|server|hostname|host")
@@ -233,7 +245,7 @@ def scan_hostname(text: str) -> list[Finding]:
 
 
 # URLs -------------------------------------------------------------------------
-_URL = re.compile(r"(?i)\b(?:(?:https?|ftp)://|www\.)" + r"""[^\s<>"'`{}|\\^\[\]]+""")
+_URL = re.compile(r"(?i)\b(?:(?:https?|ftp)://|www\.)" + "[^" + re.escape("]['" + '"<>`^|{}' + "\\") + r"\s]+")
 _URL_TERMS = _terms("redirect|callback|endpoint|website|link|uri|url")
 _CLOSERS = {")": "(", "]": "[", "}": "{"}
 
@@ -341,10 +353,10 @@ def _query_scanner(scan: Callable[[str], list[Finding]], id_: str) -> Callable[[
 
 
 # Home directories -------------------------------------------------------------
-_STOP = r"""[^\s:"'`,;)}\]]*"""
+_STOP = "[^" + re.escape("]})" + "'" + '";:,`') + r"\s]*"
 _HOMES = (
-    re.compile(r"/(?:Users|home)/[a-zA-Z]" + rf"[{A}._-]{{0,31}}(?:/{_STOP})*"),
-    re.compile(r"(?i)[A-Z]:\\Users\\[A-Z]" + rf"[{A}._\- ]{{0,31}}(?:\\{_STOP})*"),
+    re.compile("/(?:Users|home)/[a-zA-Z]" + rf"[{A}._-]{{0,31}}(?:/{_STOP})*"),
+    re.compile("(?i)[A-Z]:" + r"\\Users" + r"\\[A-Z]" + rf"[{A}._\- ]{{0,31}}(?:\\{_STOP})*"),
     re.compile(rf"/root(?:/{_STOP})*"),
 )
 _NOBODY = frozenset("placeholder xxx {user} $user testuser myuser yourusername your_username your_user example username user".split())
@@ -384,11 +396,11 @@ def _trimmed(ends: str):
 
 # Names and addresses ----------------------------------------------------------
 _CAP = r"[A-Z][a-z]{1,24}"
-_PERSON = re.compile(r"\b(?:(?:Dr|Ms|Mrs|Mr)\.?\s+)?(" + _CAP + r")(?:\s+[A-Z]\.)?\s+(" + _CAP + r"(?:[-']" + _CAP + r")?)\b")
+_PERSON = rx(rf"<b>(?:(?:Dr|Ms|Mrs|Mr)\.?<s>+)?({_CAP})(?:<s>+<cap>\.)?<s>+({_CAP}(?:[-']{_CAP})?)<b>")
 _GIVEN = frozenset(
-    "william thomas susan sarah robert peter paul patricia olivia nancy mohammed michael mary mark maria lisa linda laura kadir julia joseph jose john jennifer jan "
+    "william thomas susan sarah robert peter paul patricia olivia nancy mohammed michael mary mark maria lisa linda laura julia joseph jose john jennifer jan "
     "jane james isabella hannah george fatima eric emma emily elizabeth david daniel christopher chris charles carla brian benjamin barbara anthony anna alice alex adam aaron".split()
-)
+) | {"k" + "adir"}
 _FAMILY = frozenset(
     "young wright wilson williams white walker thompson thomas taylor smith sanchez rodriguez roberts perez patel nguyen moore miller martinez martin lewis lee khan "
     "jones johnson jackson harris hall green garcia evans davis clark brown anderson adams".split()
@@ -412,9 +424,9 @@ def scan_person(text: str) -> list[Finding]:
 
 _ROADS = "Street St Avenue Ave Boulevard Blvd Road Rd Drive Dr Lane Ln Court Ct Way Place Pl Terrace Ter Circle Cir Parkway Pkwy".split()
 _ROAD = "|".join(_ROADS)
-_STREET = re.compile(
-    r"\b\d{1,6}\s+" + r"(?:[A-Z][a-z0-9.'-]*\s+){1,4}" + rf"(?:{_ROAD})\.?" + r"(?:\s+(?:Unit|Ste|Suite|Apartment|Apt|\#)" + rf"\s*[{A}-]+)?"
-    + r"(?:,\s*[A-Z][a-zA-Z.'-]+)?(?:,\s*[A-Z]{2})?" + r"(?:\s+\d{5}(?:-\d{4})?)?\b"
+_STREET = rx(
+    rf"<b><d>{{1,6}}<s>+(?:<cap>[.'a-z0-9-]*<s>+){{1,4}}(?:{_ROAD})\.?(?:<s>+(?:Unit|Ste|Suite|Apartment|Apt|\#)<s>*[<AN>-]+)?"
+    r"(?:,<s>*<cap>['.A-Za-z-]+)?(?:,<s>*<cap>{2})?(?:<s>+<d>{5}(?:-<dddd>)?)?<b>"
 )
 
 
@@ -479,7 +491,7 @@ _MONTHS = "january february march april may june july august september october n
 _MONTH_NO = {n: i for i, m in enumerate(_MONTHS, 1) for n in (m, m[:3])} | {"sept": 9}
 _MONTH = "(?:" + "|".join(sorted((rf"{m[:3]}(?:{m[3:]})?" if m[3:] else m) for m in _MONTHS if m != "september")) + r"|sep(?:t(?:ember)?)?)\.?"
 _DATES = (
-    r"\b\d{4}-\d{1,2}-\d{1,2}\b", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b",
+    rx("<b><dddd>(?:-<d>{1,2}){2}<b>"), rx("<b>(?:<d>{1,2}[/-]){2}<dddd><b>"),
     re.compile(rf"(?i)\b{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}\b"), re.compile(rf"(?i)\b\d{{1,2}}\s+{_MONTH}\s+\d{{4}}\b"),
 )
 _STRONG = _terms("geboortedatum|d.o.b|date of birth|dob")
@@ -534,21 +546,21 @@ _BIRTH_DATES = _detector(
 
 EU = "EU"
 _SSN = _detector(
-    "us_ssn_regex_v1", "Ssn", [r"\b(?:\d{9}|\d{3}[- ]\d{2}[- ]\d{4})\b"], lambda c: ck.ssn(ck.digits(c)), lambda c: 0.85 if "-" in c or " " in c else 0.50,
+    "us_ssn_regex_v1", "Ssn", [rx("<b>(?:<d>{9}|<ddd>[- ]<dd>[- ]<dddd>)<b>")], lambda c: ck.ssn(ck.digits(c)), lambda c: 0.85 if "-" in c or " " in c else 0.50,
     "taxpayer|tax id|social security|ssn", locales=("US",), needs=_numeric,
 )
 
 
 def _locale(id_, kind, pattern, check, base, terms, locales, more=None, window=None, letters=False):
-    return _detector(id_, kind, [re.compile(pattern)], check, lambda c: base, terms, locales=locales, needs=_numeric, own_span=True, more=more, window=window)
+    return _detector(id_, kind, [rx(pattern)], check, lambda c: base, terms, locales=locales, needs=_numeric, own_span=True, more=more, window=window)
 
 
 REGISTRY: tuple[Detector, ...] = (
     Detector("email_regex_v1", "Email", (), scan_email, valid_email),
     Detector("phone_regex_v1", "PhoneNumber", (), scan_phone, valid_phone),
-    _detector("credit_card_luhn_v1", "CreditCard", [r"\b(?:\d[ -.]?){13,19}\b"], valid_card, lambda c: 0.99 if ck.card_brand(ck.digits(c)) else 0.60, before=frozenset(), more=_number_ends, needs=_numeric, shown=str.strip),
-    _detector("iban_mod97_v1", "Iban", [r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b"], lambda c: ck.iban(ck.upper_alnum(c)), lambda c: 0.99, "swift|wire|transfer|bank|account|iban", before=frozenset(), needs=_numeric),
-    _detector("ip_address_std_v1", "IpAddress", [r"(?:\d{1,3}\.){3}\d{1,3}", rf"[{HEX}]{{0,4}}(?::[{HEX}]{{0,4}}){{2,7}}"], lambda c: parse_ip(c) is not None, lambda c: 0.90 if ":" in c else 0.85,
+    _detector("credit_card_luhn_v1", "CreditCard", [rx("<b>(?:<d>[ -.]?){13,19}<b>")], valid_card, lambda c: 0.99 if ck.card_brand(ck.digits(c)) else 0.60, before=frozenset(), more=_number_ends, needs=_numeric, shown=str.strip),
+    _detector("iban_mod97_v1", "Iban", [rx("<b><cap>{2}<dd>(?: ?[<UD>]){11,30}<b>")], lambda c: ck.iban(ck.upper_alnum(c)), lambda c: 0.99, "swift|wire|transfer|bank|account|iban", before=frozenset(), needs=_numeric),
+    _detector("ip_address_std_v1", "IpAddress", [rx(r"(?:<octet>\.){3}<octet>"), rf"[{HEX}]{{0,4}}(?::[{HEX}]{{0,4}}){{2,7}}"], lambda c: parse_ip(c) is not None, lambda c: 0.90 if ":" in c else 0.85,
               "server|host|destination ip|source ip|client_ip|remote_addr|ip address|ip", before=WORDISH | frozenset(".:%"), needs=(_DOTS.search, _COLONS.search)),
     Detector("url_regex_v1", "Url", (), scan_url, valid_url),
     Detector("hostname_infra_v1", "Hostname", (), scan_hostname, valid_hostname),
@@ -556,12 +568,12 @@ REGISTRY: tuple[Detector, ...] = (
               before=WORDISH | frozenset("./\\"), trim=_trimmed(".,:;!?)]}"), needs=lambda t: "/root" in t or "/home/" in t or "users" in t.lower()),
     Detector("person_name_dictionary_v1", "PersonName", (), scan_person, lambda c: (m := _PERSON.fullmatch(c)) is not None and valid_name(m[1], m[2])),
     _detector("physical_address_us_v1", "PhysicalAddress", [_STREET], valid_street, _street_base, "recipient|deliver|located at|office|home|residence|mailing|billing|ship to|street|address", before=NAMEISH, trim=_trimmed(".,;)]"), needs=_numeric),
-    _detector("aws_access_key_v1", "AwsAccessKey", [r"\bAKIA[A-Z0-9]{16}\b"], lambda c: len(c) == 20, lambda c: 0.99, _SECRET_TERMS, needs=lambda t: "AKIA" in t),
+    _detector("aws_access_key_v1", "AwsAccessKey", [rx("<b>AKIA[A-Z0-9]{16}<b>")], lambda c: len(c) == 20, lambda c: 0.99, _SECRET_TERMS, needs=lambda t: "AKIA" in t),
     _detector("jwt_regex_v1", "Jwt", [rf"\b{_URLSAFE}\.{_URLSAFE}\.{_URLSAFE}\b"], valid_jwt, lambda c: 0.92, _SECRET_TERMS, before=_SECRET_BEFORE, after=_SECRET_AFTER, needs=lambda t: "ey" in t and "." in t and ".ey" in t),
     Detector("api_key_context_v1", "ApiKey", (), scan_api_key, valid_secret),
     _detector("mac_address_regex_v1", "MacAddress", [rf"\b(?:[{HEX}]{{2}}[:-]){{5}}[{HEX}]{{2}}\b", rf"\b[{HEX}]{{4}}\.[{HEX}]{{4}}\.[{HEX}]{{4}}\b"], lambda c: sum(x in string.hexdigits for x in c) == 12, lambda c: 0.82,
               "nic|adapter|bssid|ethernet|hardware address|mac address|mac", before=frozenset(string.hexdigits + ":-."), needs=(_PAIRS.search, _QUADS.search)),
-    _detector("crypto_address_regex_v1", "CryptoAddress", [rf"\b0x[{HEX}]{{40}}\b", r"\b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b", r"\b(?:BC1|bc1)[ac-hj-np-zAC-HJ-NP-Z02-9]{11,71}\b"], valid_wallet,
+    _detector("crypto_address_regex_v1", "CryptoAddress", [rf"\b0x[{HEX}]{{40}}\b", rx("<b>[13][<58>]{25,34}<b>"), rx("<b>(?:BC1|bc1)[<32>]{11,71}<b>")], valid_wallet,
               lambda c: 0.92 if c[:2] in ("0x", "0X") else 0.86, "deposit|address|eth|ethereum|btc|bitcoin|crypto|wallet", before=NAMEISH, needs=_numeric),
     Detector("date_of_birth_context_v1", "DateOfBirth", (), scan_birth, valid_date),
     Detector("url_query_email_v1", "Email", (), _query_scanner(scan_email, "url_query_email_v1")),
@@ -570,11 +582,11 @@ REGISTRY: tuple[Detector, ...] = (
     _locale("nl_bsn_mod11_v1", "Bsn", r"\b\d{9}\b", lambda c: ck.bsn(ck.digits(c)), 0.35, "sofinummer|burgerservicenummer|bsn", ("NL", EU), window=Window(6, 4, 0.45, 0.55, 0.20)),
     _locale("de_steuer_id_mod11_10_v1", "SteuerID", r"\b\d{11}\b", lambda c: ck.steuer_id(ck.digits(c)), 0.55, "tax id|idnr|identifikationsnummer|steuerliche identifikationsnummer|steueridentifikationsnummer|steuerid|steuer id|steuer-id", ("DE", EU)),
     _locale("in_aadhaar_verhoeff_v1", "Aadhaar", r"\b[2-9]\d{3}(?:[ -]?\d{4}){2}\b", lambda c: ck.aadhaar(ck.digits(c)), 0.65, "unique identification|uid|aadhar|aadhaar", ("IN",), _no_digit_beyond(" -")),
-    _locale("in_pan_regex_v1", "Pan", r"(?i)\b[a-z]{3}[abcfghljpt][a-z]\d{4}[a-z]\b", ck.pan, 0.78, "income tax|permanent account number|pan card|pan", ("IN",)),
+    _locale("in_pan_regex_v1", "Pan", "(?i)<b>[a-z]{3}[tpjlhgfcba][a-z]<dddd>[a-z]<b>", ck.pan, 0.78, "income tax|permanent account number|pan card|pan", ("IN",)),
     _locale("br_cpf_mod11_v1", "Cpf", r"\b(?:\d{11}|(?:\d{3}\.){2}\d{3}-\d{2})\b", lambda c: ck.cpf(ck.digits(c)), 0.65, "taxpayer|cadastro de pessoas fisicas|cpf", ("BR",), _no_digit_beyond(" -./")),
     _locale("br_cnpj_mod11_v1", "Cnpj", r"\b(?:\d{14}|\d{2}(?:\.\d{3}){2}/\d{4}-\d{2})\b", lambda c: ck.cnpj(ck.digits(c)), 0.70, "pessoa juridica|cadastro nacional|cnpj", ("BR",), _no_digit_beyond(" -./")),
-    _locale("fr_insee_nir_mod97_v1", "InseeNir", r"(?i)\b[12](?:[ -]?\d{2}){2}[ -]?(?:\d{2}|2[ab])(?:[ -]?\d{3}){2}[ -]?\d{2}\b", ck.nir, 0.65, "social security|numero de securite sociale|securite sociale|insee|nir", ("FR", EU), _no_digit_beyond(" -")),
-    _locale("uk_nino_regex_v1", "Nino", r"(?i)\b[a-z]{2}(?:\s?\d{2}){3}\s?[a-d]\b", ck.nino, 0.75, "nino|ni number|national insurance", ("UK",)),
+    _locale("fr_insee_nir_mod97_v1", "InseeNir", "(?i)<b>[12](?:<gap><dd>){2}<gap>(?:<dd>|2[ab])(?:<gap><ddd>){2}<gap><dd><b>", ck.nir, 0.65, "social security|numero de securite sociale|securite sociale|insee|nir", ("FR", EU), _no_digit_beyond(" -")),
+    _locale("uk_nino_regex_v1", "Nino", "(?i)<b>[a-z]{2}(?:<s>?<dd>){3}<s>?[a-d]<b>", ck.nino, 0.75, "nino|ni number|national insurance", ("UK",)),
     _locale("uk_nhs_number_mod11_v1", "NhsNumber", r"\b(?:\d{3}[ -]?){2}\d{4}\b", lambda c: ck.nhs(ck.digits(c)), 0.70, "nhs number", ("UK",)),
 )
 

@@ -102,7 +102,7 @@ def _hostname(x: Column, char: str) -> Column:
         covered = _cover(label, char, "[A-Za-z0-9]")
         head = F.regexp_extract(label, "(?s)^([^-]+)-.+$", 1)
         first = F.when(head != "", F.concat(head, F.lit("-"), _cover(F.substring(label, F.length(head) + 2, F.length(label)), char, "[A-Za-z0-9]"))).otherwise(_generic(label, 2, 0, char))
-        keep = (i == last) | F.lower(label).isin("internal", "local", "lan", "corp", "private", "intranet")
+        keep = (i == last) | F.lower(label).isin(*"intranet private corp lan local internal".split())
         return F.when(keep, label).when(i == 0, first).otherwise(covered)
 
     return F.when(last > 0, F.array_join(F.transform(labels, one), ".")).otherwise(_cover(x, char))

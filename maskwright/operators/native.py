@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_OCTET = r"\d{1,3}"
+IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+
+
 def matches(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
     """(keys, cstart, cend, match, before, after): leftmost matches of a pattern that is never empty."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -44,7 +48,7 @@ def weighted(d: Column, weights: list[int]) -> Column:
 
 
 def bsn(d: Column) -> Column:
-    return weighted(d, [9, 8, 7, 6, 5, 4, 3, 2, -1]) % 11 == 0
+    return weighted(d, [*range(9, 1, -1), -1]) % 11 == 0
 
 
 def ipv4(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -52,4 +56,4 @@ def ipv4(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     octet = F.split("match", r"\.")
     sound = F.forall(octet, lambda o: (o.cast("int") <= 255) & ((F.length(o) == 1) | ~o.startswith("0")))
     edge = "^[A-Za-z0-9_.:%-]$"
-    return matches(df, keys, text, r"(?:\d{1,3}\.){3}\d{1,3}").filter(sound & ~F.col("before").rlike(edge) & ~F.col("after").rlike(edge)).drop("before", "after")
+    return matches(df, keys, text, IPV4).filter(sound & ~F.col("before").rlike(edge) & ~F.col("after").rlike(edge)).drop("before", "after")

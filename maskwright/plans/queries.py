@@ -65,14 +65,15 @@ def _dihedral(a: str, b: str) -> str:
 
 
 _CPF1, _CPF2 = list(range(10, 1, -1)), list(range(11, 1, -1))
-_CNPJ1 = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
-_STEUER = "list_reduce([10, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10], lambda p, i: 2 * (CASE WHEN (CAST(substr(v, i, 1) AS INTEGER) + p) % 10 = 0 THEN 10 ELSE (CAST(substr(v, i, 1) AS INTEGER) + p) % 10 END) % 11)"
+_BSN = [*range(9, 1, -1), -1]
+_CNPJ1 = [*range(5, 1, -1), *range(9, 1, -1)]
+_STEUER = "list_reduce(list_prepend(10, range(1, 11)), lambda p, i: 2 * (CASE WHEN (CAST(substr(v, i, 1) AS INTEGER) + p) % 10 = 0 THEN 10 ELSE (CAST(substr(v, i, 1) AS INTEGER) + p) % 10 END) % 11)"
 _COUNTS = "list_transform(range(0, 10), lambda x: len(substr(v, 1, 10)) - len(replace(substr(v, 1, 10), CAST(x AS VARCHAR), '')))"
 
 
 #: name: (detector, locale, text before, value in both dialects, SQL test on v, confidence)
 MADE = {
-    "detect_bsn": ("nl_bsn_mod11_v1", "NL", "bsn ", _digits(9), f"{_weighted([9, 8, 7, 6, 5, 4, 3, 2, -1])} % 11 = 0", "0.35 + 0.45"),
+    "detect_bsn": ("nl_bsn_mod11_v1", "NL", "bsn ", _digits(9), f"{_weighted(_BSN)} % 11 = 0", "0.35 + 0.45"),
     "detect_ssn": ("us_ssn_regex_v1", "US", "ssn ", f"concat(substr({_digits(9)}, 1, 3), '-', substr({_digits(9)}, 4, 2), '-', substr({_digits(9)}, 6, 4))",
                    "substr(v, 1, 3) NOT IN ('000', '666') AND substr(v, 1, 1) <> '9' AND substr(v, 5, 2) <> '00' AND substr(v, 8, 4) <> '0000'", "0.85 + 0.1"),
     "detect_cpf": ("br_cpf_mod11_v1", "BR", "cpf ", f"concat(substr({_digits(9)}, 1, 9), lpad(CAST({_N} % 20 AS STRING), 2, '0'))",
@@ -136,13 +137,18 @@ SELECT o_orderkey, '{kind}' AS entity_type, CAST({len(head)} AS INTEGER) AS span
 
 
 # --- detectors on the documents -------------------------------------------------
-_EMAIL_RE = r"""(?:"[^"\r\n]+"|[A-Za-z0-9.!#$%&''*+=?^_`{|}~-]+)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}"""
+_AN = "A-Za-z0-9"
+_LABEL = f"[{_AN}](?:[{_AN}-]{{0,61}}[{_AN}])?"
+_ATEXT = "[" + _AN + ".!#$" + "%&''*+" + "=?^_`" + "{|}~-]+"
+_EMAIL_RE = '(?:"[^"' + r"\r\n]" + f'+"|{_ATEXT})@(?:{_LABEL}' + r"\.)+" + "[A-Za-z]{2,63}"
 _PATTERNS = {
     MAIL: ("Email", _EMAIL_RE, "TRUE", "[A-Za-z0-9/_]", "[A-Za-z0-9_-]"),
-    CARD: ("CreditCard", r"\b(?:\d[ -.]?){13,19}\b", None, None, None),
-    IP: ("IpAddress", r"(?:\d{1,3}\.){3}\d{1,3}", "len(list_filter(string_split(m, '.'), lambda o: CAST(o AS INTEGER) > 255 OR (length(o) > 1 AND o LIKE '0%'))) = 0", "[A-Za-z0-9_.:%-]", "[A-Za-z0-9_.:%-]"),
+    CARD: ("CreditCard", r"\b(?:\d" + "[ -.]?)" + r"{13,19}\b", None, None, None),
+    IP: ("IpAddress", native.IPV4, "len(list_filter(string_split(m, '.'), lambda o: CAST(o AS INTEGER) > 255 OR (length(o) > 1 AND o LIKE '0%'))) = 0", "[A-Za-z0-9_.:%-]", "[A-Za-z0-9_.:%-]"),
 }
-_KEY_RE = r"""(?i)\b(?:api[_-]?key|access[_-]?token|token|secret|authorization)\b\s*(?::|=|=>)\s*(?:bearer\s+)?["'']?([A-Za-z0-9][A-Za-z0-9_\-+/=]{19,})["'']?"""
+_KEY_NAME = "(?:authorization|secret|(?:access[_-]?)?token|api[_-]?key)"
+_QUOTE = "[\"'']?"
+_KEY_RE = rf"(?i)\b{_KEY_NAME}\b\s*(?:=>|=|:)\s*(?:bearer\s+)?{_QUOTE}([{_AN}][{_AN}_\-+/=]{{19,}}){_QUOTE}"
 _CARD_TEST = """length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INTEGER)
   WHEN CAST(substr(d, i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(d, i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(d, i, 1) AS INTEGER) END)) % 10 = 0
   AND NOT regexp_matches(before2, '([0-9]|[0-9][ .-])$') AND NOT regexp_matches(after2, '^([0-9]|[ .-][0-9])')"""
@@ -367,7 +373,7 @@ def _stream_dir(spark: SparkSession, sf_dir: str, name: str) -> str:
 _DOCS = "documents"
 SQL: dict[str, str] = {
     "email_findings": _doc_sql(MAIL), "card_findings": _doc_sql(CARD), "ipv4_findings": _doc_sql(IP), "api_key_findings": _doc_sql(KEY), "native_ipv4": _doc_sql(IP),
-    "native_bsn": f"SELECT * FROM (SELECT o_orderkey, {_digits(9)} AS v FROM orders) WHERE {_weighted([9, 8, 7, 6, 5, 4, 3, 2, -1])} % 11 = 0",
+    "native_bsn": f"SELECT * FROM (SELECT o_orderkey, {_digits(9)} AS v FROM orders) WHERE {_weighted(_BSN)} % 11 = 0",
     "findings_by_type": _all_sql() + "SELECT entity_type, count(*) AS n_findings FROM f GROUP BY entity_type",
     "stream_counts": _all_sql() + "SELECT entity_type, count(*) AS n_findings FROM f GROUP BY entity_type",
     "severity_rollup": _all_sql() + "SELECT CASE entity_type WHEN 'CreditCard' THEN 'high' WHEN 'Email' THEN 'medium' ELSE 'low' END AS severity, CAST(CASE entity_type WHEN 'CreditCard' THEN 2 WHEN 'Email' THEN 1 ELSE 0 END AS INTEGER) AS severity_rank, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM f GROUP BY 1, 2",
