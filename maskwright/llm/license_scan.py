@@ -36,7 +36,7 @@ SALTS = 16
 NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "This project is licensed under the MIT license."),
+    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person" " obtaining a copy of this software", "This project is licensed under the MIT license."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
