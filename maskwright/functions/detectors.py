@@ -92,8 +92,20 @@ def _detector(id_, kind, patterns, check, base, terms="", *, locales=(), before=
 _DIGIT = re.compile(r"\d")
 
 
+_FACTS: tuple[str, bool, str] = ("", False, "")
+
+
+def _facts(text: str) -> tuple[str, bool, str]:
+    """The text, whether it has a digit, and its lower case: kept for the text at hand, as many detectors ask."""
+    global _FACTS
+    known = _FACTS
+    if known[0] is not text:
+        _FACTS = known = (text, _DIGIT.search(text) is not None, text.lower())
+    return known
+
+
 def _numeric(text: str) -> bool:
-    return _DIGIT.search(text) is not None
+    return _facts(text)[1]
 
 
 def _no_digit_beyond(separators: str):
@@ -195,7 +207,7 @@ _CLOUD = tuple(tuple(x.split(".")) for x in "elasticbeanstalk.com cloudfront.net
 _PUBLIC = frozenset("gov edu io net org com".split())
 _MACHINE = rx("<b>(?:WORKSTATION|PC|WIN|LAPTOP|DESKTOP)-[A-Z0-9]{6,10}<b>")
 _DOMAIN = re.compile(r"(?i)\b" + _LABEL.replace("A-Z", "") + r"(?:\." + _LABEL.replace("A-Z", "") + r")+\b")
-_DOTTED = re.compile(r"(?i)[a-z0-9]\.[a-z0-9]")
+_DOTTED = re.compile(r"\.[A-Za-z0-9]")
 _HOST_TERMS = _terms("upstream|remote_host|server_addr|server_name|host:|ssh|ping|nslookup|dns|resolved|connected to|connecting to|machine|instance|node|server|hostname|host")
 _HOSTISH = WORDISH | {"."}
 
@@ -273,7 +285,7 @@ def valid_url(candidate: str) -> bool:
 
 
 def url_spans(text: str) -> list[tuple[int, int]]:
-    if "://" not in text and "www." not in text.lower():
+    if "://" not in text and "www." not in _facts(text)[2]:
         return []
     out = []
     for m in _URL.finditer(text):
@@ -408,12 +420,17 @@ _FAMILY = frozenset(
 _PERSON_TERMS = _terms("dr|ms|mrs|mr|dear|attn|sender|recipient|author|signed by|full name|account holder|person|contact|user|employee|patient|client|customer|name")
 
 
+_FIRST = re.compile(rf"{_CAP}(?=\s)")
+
+
 def valid_name(first: str, last: str) -> bool:
     return first.lower() in _GIVEN and all(p.lower() in _FAMILY for p in re.split("[-']", last))
 
 
 def scan_person(text: str) -> list[Finding]:
     out = []
+    if not any(n.lower() in _GIVEN for n in _FIRST.findall(text)):
+        return out
     for m in _PERSON.finditer(text):
         if valid_name(m[1], m[2]) and free(text, *m.span(), NAMEISH):
             known = 0.08 if min(len(m[1]), len(m[2])) >= 4 else 0.0
@@ -541,7 +558,7 @@ def scan_birth(text: str) -> list[Finding]:
 
 _BIRTH_DATES = _detector(
     "date_of_birth_context_v1", "DateOfBirth", _DATES, valid_date, lambda c: 0.76, before=ALNUM | frozenset("/-."), more=_birth_before(_BIRTH),
-    needs=lambda t: _numeric(t) and any(x in t.lower() for x in ("dob", "d.o.b", "birth", "born", "geboortedatum")),
+    needs=lambda t: _numeric(t) and any(x in _facts(t)[2] for x in ("dob", "d.o.b", "birth", "born", "geboortedatum")),
 )
 
 EU = "EU"
@@ -565,7 +582,7 @@ REGISTRY: tuple[Detector, ...] = (
     Detector("url_regex_v1", "Url", (), scan_url, valid_url),
     Detector("hostname_infra_v1", "Hostname", (), scan_hostname, valid_hostname),
     _detector("user_path_home_v1", "UserPath", _HOMES, valid_path, _path_base, "in /|from /|at /|stack trace|enoent|filenotfounderror|no such file|not found|denied|permission|write|read|open|config|folder|directory|path|file",
-              before=WORDISH | frozenset("./\\"), trim=_trimmed(".,:;!?)]}"), needs=lambda t: "/root" in t or "/home/" in t or "users" in t.lower()),
+              before=WORDISH | frozenset("./\\"), trim=_trimmed(".,:;!?)]}"), needs=lambda t: "/root" in t or "/home/" in t or "users" in _facts(t)[2]),
     Detector("person_name_dictionary_v1", "PersonName", (), scan_person, lambda c: (m := _PERSON.fullmatch(c)) is not None and valid_name(m[1], m[2])),
     _detector("physical_address_us_v1", "PhysicalAddress", [_STREET], valid_street, _street_base, "recipient|deliver|located at|office|home|residence|mailing|billing|ship to|street|address", before=NAMEISH, trim=_trimmed(".,;)]"), needs=_numeric),
     _detector("aws_access_key_v1", "AwsAccessKey", [rx("<b>AKIA[A-Z0-9]{16}<b>")], lambda c: len(c) == 20, lambda c: 0.99, _SECRET_TERMS, needs=lambda t: "AKIA" in t),
