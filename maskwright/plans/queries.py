@@ -160,7 +160,7 @@ def _cte(name: str, detector: str, table: str = "documents", key: str = "doc_id"
         return f"""{name}0 AS (SELECT {key}{keep}, {text} AS t, regexp_extract_all({text}, '{_KEY_RE}', 1) AS g, regexp_extract_all({text}, '{_KEY_RE}') AS ms, string_split_regex({text}, '{_KEY_RE.replace("([A-Za-z0-9][", "(?:[A-Za-z0-9][")}') AS ps FROM {table}),
 {name}1 AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM {name}0),
 {name}2 AS (SELECT *, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) + instr(ms[i], g[i]) - 1 AS INTEGER) AS s, g[i] AS m FROM {name}1),
-{name} AS (SELECT {key}{keep}, t, s, s + length(m) AS e, m, 'ApiKey' AS entity_type FROM {name}2 WHERE length(replace(m, substr(m, 1, 1), '')) > 0
+{name} AS (SELECT {key}{keep}, t, s, CAST(s + length(m) AS INTEGER) AS e, m, 'ApiKey' AS entity_type FROM {name}2 WHERE length(replace(m, substr(m, 1, 1), '')) > 0
   AND NOT regexp_matches(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END, '[A-Za-z0-9_+/.-]') AND NOT regexp_matches(substr(t, s + length(m) + 1, 1), '[A-Za-z0-9_+/=.-]'))"""
     kind, pattern, test, before, after = _PATTERNS[detector]
     edge = _CARD_TEST if test is None else f"{test} AND NOT regexp_matches(before, '{before}') AND NOT regexp_matches(after, '{after}')"
