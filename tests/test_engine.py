@@ -165,3 +165,13 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sql_functions(spark):
+    from maskwright.operators import sqlfunctions
+
+    sqlfunctions.register(spark, E.Config("US", 0.5))
+    spark.createDataFrame([(1, "é a@b.org"), (2, None), (3, "x")], "id int, t string").createOrReplaceTempView("texts")
+    assert [r.m for r in spark.sql("SELECT pii_mask(t) AS m FROM texts ORDER BY id").collect()] == ["é [EMAIL]", None, "x"]
+    got = spark.sql("SELECT id, f.* FROM texts, LATERAL pii_findings(t) f").collect()
+    assert [(r.id, r.entity_type, r.start, r.cstart) for r in got] == [(1, "Email", 3, 2)]
