@@ -6,6 +6,7 @@ all executors share, so a lost executor costs no recomputation of earlier steps.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no table needs any more: it does so when the driver's collector finds their owners gone."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
     path = df.__dict__.get("_staged_at")

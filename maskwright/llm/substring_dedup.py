@@ -5,14 +5,16 @@ only tell equal from unequal) of strings of growing length, and a position leave
 as soon as its name is unique. Doubling over every byte of a corpus sorts some
 24 bytes per byte of text and round, so positions are first thinned without loss:
 
-1. A sieve. Every 100-byte window picks its anchor, the 20-byte string in it with
-   the least hash, leftmost on ties. Equal windows pick equal anchors, so windows
-   whose anchor's hash is unique are unique. One shuffle of a row per run of
-   windows with the same anchor finds them, about one row in 40 bytes.
-2. Long names. A surviving run (its windows' union, up to 180 bytes) is named by a
-   128-bit digest. A run whose name has an earlier occurrence goes as a whole.
-3. Names of 100 bytes. Only first occurrences of names whose anchor has several
-   names are left; each of their windows is named and goes if it occurs earlier.
+1. Names of 20 bytes. Every 100-byte window picks its anchor, the 20-byte string in
+   it with the least hash, leftmost on ties. Equal windows pick equal anchors, so
+   windows whose anchor's name is unique are unique and leave.
+2. Names of up to 180 bytes. Neighbouring windows with one anchor are a run, and a
+   digest of their union names it. Spark sorts the runs by both names: a run with an
+   earlier one of its name goes as a whole, and the first run of a name stays in
+   question only if its anchor has other names too. One row in some 40 bytes.
+3. Names of 100 bytes. Of the runs in question, sorted by anchor and place, each
+   window goes if an earlier run of the anchor has it. Anchors with more than ``HOT``
+   names have their windows named by digest and grouped instead.
 
 Whole copies of a text are found first, by digest, and skip these steps.
 
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm._store import discard, prepare, stage
+from maskwright.llm._store import discard, prepare, release, stage
 
 LEAST = 100
 GRAM = 20
@@ -42,6 +44,8 @@ GRAM = 20
 PIECE = 1 << 19
 SALTS = 16
 BROADCAST_IDS = 2_000_000
+#: Names of one anchor that a task holds at once, with some 40 windows each.
+HOT = 4000
 _P = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
 
@@ -87,35 +91,96 @@ def runs(text: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per run of windows: anchor hash, digest of the windows' union, place."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
-            found = [runs(t.as_py()) for t in part.column(1)]
+            texts = [t.as_py() for t in part.column(1)]
+            found = [runs(t) for t in texts]
             ids = np.repeat(part.column(0).to_numpy(), [len(f[0]) for f in found])
             if len(ids):
+                names = [xxhash.xxh3_64_intdigest(t[a:b]) for t, (first, n, _) in zip(texts, found) for a, b in zip(first.tolist(), (first + n + LEAST - 1).tolist())]
                 first, n, h = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(first * 128 + n)], names=["h", "ord", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(ids), pa.array(first * 128 + n)], names=["h", "name", "ord", "run"])
 
 
-def _long_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by (h, name, ord, run): those that repeat an earlier run of their name (late),
+    and the first of each name whose anchor has other names too. Holds one row beside the batch."""
+    last: tuple[int, int] | None = None
+    pending: tuple[int, int, int] | None = None  # the first run of the last anchor, until it has a second name
+
+    def rows(h, o, r, late) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(o, pa.int64()), pa.array(r, pa.int64()), pa.array(late, pa.bool_())], names=["h", "ord", "run", "late"])
+
     for batch in batches:
-        for ords, text, run, h in zip(*(batch.column(i) for i in range(4))):
-            text, at, own = text.as_py(), np.array(run.as_py()), ords.as_py()
-            first, n = at // 128, at % 128
-            names = [xxhash.xxh3_128_digest(text[a: a + k + LEAST - 1]) for a, k in zip(first.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h.as_py(), pa.int64()), pa.array(names, pa.binary()), pa.array(np.full(len(at), own)), pa.array(at)], names=["h", "name", "ord", "run"])
+        if not batch.num_rows:
+            continue
+        h, name, o, r = (batch.column(i).to_numpy() for i in range(4))
+        new_h = np.r_[last is None or h[0] != last[0], h[1:] != h[:-1]]
+        new_n = new_h | np.r_[last is None or name[0] != last[1], name[1:] != name[:-1]]
+        group = np.cumsum(new_h)
+        second = new_n & ~new_h
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[second]] = True
+        if pending is not None:
+            if mixed[0]:
+                yield rows([pending[0]], [pending[1]], [pending[2]], [False])
+                pending = None
+            elif group[-1] > 0:
+                pending = None
+        keep = ~new_n | second | (new_h & mixed[group])
+        if keep.any():
+            yield rows(h[keep], o[keep], r[keep], ~new_n[keep])
+        if group[-1] > 0 and not mixed[-1]:
+            at = int(np.flatnonzero(new_h)[-1])
+            pending = (int(h[at]), int(o[at]), int(r[at]))
+        last = (int(h[-1]), int(name[-1]))
+
+
+def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each run of a text."""
+    for batch in batches:
+        for ords, text, pairs in zip(*(batch.column(i) for i in range(3))):
+            text, own, pairs = text.as_py(), ords.as_py(), pairs.as_py()
+            at = [x["run"] for x in pairs]
+            parts = [text[a // 128: a // 128 + a % 128 + LEAST - 1] for a in at]
+            yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in pairs], pa.int64()), pa.array([own] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(parts, pa.binary())], names=["h", "ord", "run", "part"])
+
+
+def _late_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by (h, ord, run): spans of windows that an earlier run of the anchor has."""
+    now, seen = None, set()
+    for batch in batches:
+        out = []
+        for h, o, r, part in zip(*(c.to_pylist() for c in batch.columns)):
+            if h != now:
+                now, seen = h, set()
+            at, start = r // 128, -1
+            for i in range(r % 128):
+                w = part[i: i + LEAST]
+                if w in seen:
+                    if start < 0:
+                        start = i
+                else:
+                    seen.add(w)
+                    if start >= 0:
+                        out.append((o, at + start, at + i - 1 + LEAST))
+                        start = -1
+            if start >= 0:
+                out.append((o, at + start, at + r % 128 - 1 + LEAST))
+        cols = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ord", "s", "e"])
 
 
 def _window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per window of a run, by digest: for anchors with very many names."""
     for batch in batches:
-        for ords, text, run in zip(*(batch.column(i) for i in range(3))):
-            text, at, own = text.as_py(), np.array(run.as_py()), ords.as_py()
-            p = np.concatenate([np.arange(a // 128, a // 128 + a % 128) for a in at.tolist()])
-            for lo in range(0, len(p), PIECE):
-                part = p[lo: lo + PIECE]
-                names = [xxhash.xxh3_128_digest(text[a: a + LEAST]) for a in part.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.full(len(part), own)), pa.array(part.astype(np.int64))], names=["name", "ord", "p"])
+        for o, r, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            n = r % 128
+            names = [xxhash.xxh3_128_digest(part[i: i + LEAST]) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([o] * n, pa.int64()), pa.array(range(r // 128, r // 128 + n), pa.int64())], names=["name", "ord", "p"])
 
 
 def union(spans: np.ndarray) -> np.ndarray:
@@ -163,33 +228,32 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = texts.join(_few(copies.select("ord")), "ord", "left_anti").filter(F.octet_length("text") >= LEAST)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = once.mapInArrow(_sieve, "h long, ord long, run long").repartition(parts, "h")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n"), F.max("ord").alias("x"), F.max("run").alias("y")).filter("n > 1").select(F.col("h").alias("g"))
-    left = stage(anchors.join(twice, F.col("h") == F.col("g"), "left_semi"), "anchors")
-
-    per = left.groupBy("ord").agg(F.collect_list(F.struct("run", "h")).alias("r"))
-    per = per.select("ord", F.col("r.run").alias("run"), F.col("r.h").alias("h"))
-    own = once.join(_few(left.select("ord").distinct()), "ord", "left_semi").join(per, "ord").select("ord", "text", "run", "h")
-    named = stage(own.mapInArrow(_long_names, "h long, name binary, ord long, run long"), "names")
-    discard(left)
-    first = named.groupBy("name").agg(F.min(F.struct("ord", "run")).alias("at"), F.min("h").alias("h"), F.count("*").alias("n"))
-    first = stage(first.select("name", F.col("at.ord").alias("o1"), F.col("at.run").alias("r1"), "h", "n"), "first")
-    again = named.join(first.filter("n > 1").select(F.col("name").alias("m"), "o1", "r1"), F.col("name") == F.col("m")).filter("ord <> o1 OR run <> r1")
-    again = again.select("ord", F.expr("run div 128").alias("s"), F.expr(f"run div 128 + run % 128 + {LEAST - 1}").alias("e"))
-
-    mixed = first.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("h").alias("g"))
-    open_ = stage(first.join(mixed, F.col("h") == F.col("g"), "left_semi").groupBy(F.col("o1").alias("ord")).agg(F.collect_list("r1").alias("run")), "open")
-    own = once.join(_few(open_.select("ord")), "ord", "left_semi").join(open_, "ord").select("ord", "text", "run")
-    parted = own.mapInArrow(_window_names, "name binary, ord long, p long").repartition(parts, "name")
-    lowest = parted.groupBy("name").agg(F.min(F.struct("ord", "p")).alias("at"), F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("m"), "at")
-    late = parted.join(lowest, F.col("name") == F.col("m")).filter((F.col("ord") != F.col("at.ord")) | (F.col("p") != F.col("at.p")))
-    late = late.select("ord", F.col("p").alias("s"), (F.col("p") + LEAST).alias("e"))
+    named = once.mapInArrow(_named_runs, "h long, name long, ord long, run long").repartition(parts, "h").sortWithinPartitions("h", "name", "ord", "run")
+    left = stage(named.mapInArrow(_repeated_runs, "h long, ord long, run long, late boolean"), "runs")
+    release(spark)
+    again = left.filter("late").select("ord", F.expr("run div 128").alias("s"), F.expr(f"run div 128 + run % 128 + {LEAST - 1}").alias("e"))
+
+    open_ = left.filter("not late").groupBy("ord").agg(F.collect_list(F.struct("h", "run")).alias("pairs"))
+    own = once.join(_few(left.filter("not late").select("ord").distinct()), "ord", "left_semi").join(open_, "ord").select("ord", "text", "pairs")
+    pieces = stage(own.mapInArrow(_cut_runs, "h long, ord long, run long, part binary"), "pieces")
+    release(spark)
+    # Anchors with more names than one task should hold: at most one in HOT rows.
+    hot = stage(left.filter("not late").groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(F.col("h").alias("g")), "hot")
+    many_hot = hot.count()
+    cool = pieces.join(_few(hot), F.col("h") == F.col("g"), "left_anti") if many_hot else pieces
+    late = cool.repartition(parts, "h").sortWithinPartitions("h", "ord", "run").mapInArrow(_late_windows, "ord long, s long, e long")
+    if many_hot:
+        warm = pieces.join(_few(hot), F.col("h") == F.col("g"), "left_semi").mapInArrow(_window_names, "name binary, ord long, p long")
+        lowest = warm.groupBy("name").agg(F.min(F.struct("ord", "p")).alias("at"), F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("m"), "at")
+        hits = warm.join(lowest, F.col("name") == F.col("m")).filter((F.col("ord") != F.col("at.ord")) | (F.col("p") != F.col("at.p")))
+        late = late.unionByName(hits.select("ord", F.col("p").alias("s"), (F.col("p") + LEAST).alias("e")))
 
     spans = again.unionByName(late).unionByName(copies.select("ord", F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
     spans = spans.groupBy("ord").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("ord", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
     out = stage(spans.mapInArrow(_merged, "ord long, spans array<struct<s:long,e:long>>"), "spans")
-    for t in (named, first, open_, copies):
+    for t in (left, pieces, hot, copies):
         discard(t)
+    release(spark)
     return digests, out
 
 
@@ -231,16 +295,16 @@ def cut(docs: DataFrame) -> DataFrame:
 
     Bytes left of a character that a cut went through are dropped with it.
     """
-    names = docs.columns
-    docs = numbered(docs)
-    _, spans = removed(docs.select("ord", "text"))
-    lost = docs.join(_few(spans.select("ord")), "ord", "left_semi")
-    new = lost.select("ord", F.col("text").cast("binary").alias("text")).join(spans, "ord").select("ord", "text", "spans").mapInArrow(_cut_text, "ord long, cut_text string")
-    same = docs.join(_few(spans.select("ord")), "ord", "left_anti").select(*names)
-    lost = lost.join(new, "ord").withColumn("text", F.col("cut_text"))
-    if "n_chars" in names:
-        lost = lost.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return same.unionByName(lost.select(*names))
+    whole = numbered(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")))
+    _, spans = removed(whole.select("ord", "text"))
+    ids = _few(spans.select("ord"))
+    lost = whole.join(ids, "ord", "left_semi").select("ord", F.col("text").cast("binary").alias("text"), "__row")
+    new = lost.select("ord", "text").join(spans, "ord").select("ord", "text", "spans").mapInArrow(_cut_text, "ord long, cut_text string")
+    row = F.col("__row").withField("text", F.col("cut_text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("cut_text").cast(docs.schema["n_chars"].dataType))
+    same = whole.join(ids, "ord", "left_anti").select("__row")
+    return same.unionByName(lost.select("ord", "__row").join(new, "ord").select(row.alias("__row"))).select("__row.*")
 
 
 def query_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
