@@ -7,9 +7,9 @@ a segment tree over remaining capacities, which finds the tightest open sequence
 in logarithmic time. Packing moves only ids and lengths, never tokens, and a group
 wastes about one part-filled sequence, so the number of groups hardly shows.
 
-The tokenizer drops white space and treats words apart, so a bounded memory of
-words' ids replaces most calls; texts that hold a special token's marker are
-encoded whole.
+The tokenizer drops white space and treats words apart, so bounded memories of the
+ids of words and of their pieces replace most calls; words with rare characters
+and texts that hold a special token's marker are encoded by it whole.
 
 Defined cases: a null or empty text is the end id alone; very long texts are cut;
 repeated rows are packed each; rows without an id are packed like others; an
@@ -18,8 +18,12 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -34,35 +38,101 @@ END_ID = 0
 GROUP = 65536
 TOKENIZER = "word_bpe_49k.json"
 MARKER = b"<|"
+#: The tokenizer's split of lower-case words, for texts of the letters that _ODD leaves.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+#: Anything but printable ASCII and composed Latin letters, whose lower case is one letter too.
+_ODD = re.compile(r"[^!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u0137\u0139-\u013e\u0141-\u0148\u014a-\u017e]")
+_STOPS = frozenset(b".,;:!?)|")
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters for which byte-level models take bytes.
+_BYTE_CHARS = [chr(b) if b in _VISIBLE else chr(256 + b - sum(v < b for v in _VISIBLE)) for b in range(256)]
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _merger(path: str, model):
+    """A function from the UTF-8 bytes of a piece to its ids.
+
+    The vocabulary is that of a byte-level BPE whose words end in a marker, so it
+    is also a rank table of tiktoken with a byte for the marker that no UTF-8 text
+    holds; that merges faster. A sample of pieces is held against the tokenizer's
+    own model, which takes over if any differs.
+    """
+    import tiktoken
+
+    def own(piece: bytes) -> list[int]:
+        return [t.id for t in model.tokenize("".join(map(_BYTE_CHARS.__getitem__, piece)))]
+
+    spec = json.loads(Path(path).read_text())["model"]
+    mark, back = spec.get("end_of_word_suffix") or "", {c: b for b, c in enumerate(_BYTE_CHARS)}
+    try:
+        ranks = {bytes(map(back.__getitem__, t.removesuffix(mark))) + b"\xff" * t.endswith(mark): i for t, i in spec["vocab"].items()}
+        core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+        def fast(piece: bytes) -> list[int]:
+            return core.encode_single_piece(piece + b"\xff")
+
+        whole = sorted(r for r in ranks if b"\xff" not in r)[::37]
+        sample = [a + b for a, b in zip(whole, whole[7:] + whole[:7])]
+        if mark and all(fast(x) == own(x) for x in sample):
+            return fast
+    except (KeyError, ValueError, AttributeError):
+        pass
+    return own
+
+
+class PieceIds(dict):
+    """Little-endian uint32 ids of the pieces into which the tokenizer cuts words; a bounded memory."""
+
+    most = 500_000
+
+    def __init__(self, merge) -> None:
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[piece] = array("I", self.merge(piece)).tobytes()
+        return ids
+
+
 class WordIds(dict):
-    """Little-endian uint32 ids of words; a bounded memory."""
+    """Little-endian uint32 ids of words between ASCII white space; a bounded memory.
+
+    Words of ASCII go through the tokenizer's own steps here: lower case, its split,
+    and its model for each new piece. Other words go to the tokenizer whole.
+    """
 
-    most = 200_000
+    most = 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tool = Tokenizer.from_file(path)
+        self.pieces = PieceIds(_merger(path, self.tool.model))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        low = word.lower()
+        if low.isalpha():  # of bytes: ASCII letters only
+            ids = self.pieces[low]
+        elif low[:-1].isalpha() and low[-1] in _STOPS:
+            ids = self.pieces[low[:-1]] + self.pieces[low[-1:]]
+        else:
+            text = word.decode("utf-8", "replace")
+            ids = self.whole(text) if _ODD.search(text) else b"".join(self.pieces[x.encode()] for x in _SPLIT.findall(text.lower()))
+        self[word] = ids
+        return ids
+
     def encode(self, text: bytes) -> bytes:
         if MARKER in text:
             return self.whole(text.decode("utf-8", "replace"))
-        words = text.split()  # of bytes: ASCII white space, which the tokenizer drops
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if new:
-            if len(self) > self.most:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tool.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))  # of bytes: ASCII white space, which the tokenizer drops
 
 
 _KNOWN: dict[str, WordIds] = {}
