@@ -155,7 +155,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, bands:
     left = rest.withColumn("i", F.col("chunk")).withColumn("j", F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)))
     right = rest.withColumn("j", F.col("chunk")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunk"))))
     names = ["key", "i", "j", "doc", "component", "n", "small"]
-    more = left.select(*names).groupBy("key", "i", "j").cogroup(right.select(*names).groupBy("key", "i", "j")).applyInPandas(_block_pairs(bins, threshold), "a long, b long").distinct()
+    # A fixed number of partitions: adaptive coalescing goes by bytes, which are few here, and not by work.
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (t.select(*names).repartition(parts, "key", "i", "j").groupBy("key", "i", "j") for t in (left, right))
+    more = left.cogroup(right).applyInPandas(_block_pairs(bins, threshold), "a long, b long").distinct()
     every = links.unionByName(_confirm(more, sets, threshold))
     final = stage(components(every), "labels")
     for t in (live, sets, rest, links, labels):
