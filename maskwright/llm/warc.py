@@ -37,6 +37,8 @@ LEAST = 100
 FRAME = 1 << 20
 BUNDLE = 64 << 20
 SALTS = 16
+#: Revisits up to which they are broadcast to the rows (some 100 bytes each); beyond, both sides are shuffled.
+BROADCAST_COPIES = 500_000
 _SKIP, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = "record_id string, bundle string, frame int, frame_at long, frame_size long, record_at long, record_size long"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -176,6 +178,8 @@ def marked(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     # Only ids and digests meet the firsts; payloads stay where they are.
     copies = rows.select("page_id", "digest", "salt").join(firsts, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("t"))).filter("page_id <> first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
+    copies = stage(copies, "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
     rows = rows.join(copies, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
     return rows.select("page_id", "url", "html", "digest", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("kind"), F.col("first").alias("refers_to"))
 
