@@ -60,8 +60,15 @@ class Config:
 
     def detectors(self) -> tuple[Detector, ...]:
         """Detectors that can matter: of the locale, and but for excluded built-in types, which each emit one type."""
-        ours = {d.id for d in REGISTRY}
-        return tuple(d for d in for_locale(self.locale, self.registry()) if not (d.id in ours and d.entity_type in self.exclude))
+        known = self.__dict__.get("_detectors")
+        if known is None:
+            ours = {d.id for d in REGISTRY}
+            known = tuple(d for d in for_locale(self.locale, self.registry()) if not (d.id in ours and d.entity_type in self.exclude))
+            object.__setattr__(self, "_detectors", known)
+        return known
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_detectors"}
 
     def findings(self, text: str) -> list[Finding]:
         """Findings of one text, with code-point offsets."""
