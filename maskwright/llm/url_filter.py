@@ -19,6 +19,7 @@ import hashlib
 import math
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,22 +95,16 @@ def _parts(url: str) -> tuple[str, str]:
 @lru_cache(maxsize=4)
 def fit(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 200, rate: float = 8.0, decay: float = 1e-4) -> tuple[int, ...]:
     """Integer weights by bucket, and the intercept as the last one, by gradient descent."""
-    rows = []
-    for url, y in labelled[:MAX_LABELLED]:
+    x, y = np.zeros((min(len(labelled), MAX_LABELLED), BUCKETS)), np.array([v for _, v in labelled[:MAX_LABELLED]], float)
+    for row, (url, _) in zip(x, labelled):
         own = sorted({bucket(g) for g in grams(*_parts(url))})
-        rows.append((own, 1 / math.sqrt(max(1, len(own))), y))
-    w, b = [0.0] * BUCKETS, 0.0
+        row[own] = 1 / math.sqrt(max(1, len(own)))
+    w, b, n = np.zeros(BUCKETS), 0.0, max(1, len(x))
     for _ in range(rounds):
-        step, at = {}, 0.0
-        for own, unit, y in rows:
-            off = 1 / (1 + math.exp(-(b + unit * sum(w[i] for i in own)))) - y
-            at += off
-            for i in own:
-                step[i] = step.get(i, 0.0) + off * unit
-        for i, g in step.items():
-            w[i] -= rate * (g / len(rows) + decay * w[i])
-        b -= rate * at / len(rows)
-    return tuple(round(x * SCALE) for x in w) + (round(b * SCALE),)
+        off = 1 / (1 + np.exp(-(b + (x * w).sum(axis=1)))) - y
+        w -= rate * ((x * off[:, None]).sum(axis=0) / n + decay * w)
+        b -= rate * float(off.sum()) / n
+    return tuple(int(v) for v in np.rint(w * SCALE)) + (round(b * SCALE),)
 
 
 def margin(host: Column, path: Column, weights: tuple[int, ...]) -> Column:
