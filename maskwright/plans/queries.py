@@ -164,6 +164,8 @@ def _cte(name: str, detector: str, table: str = "documents", key: str = "doc_id"
   AND NOT regexp_matches(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END, '[A-Za-z0-9_+/.-]') AND NOT regexp_matches(substr(t, s + length(m) + 1, 1), '[A-Za-z0-9_+/=.-]'))"""
     kind, pattern, test, before, after = _PATTERNS[detector]
     edge = _CARD_TEST if test is None else f"{test} AND NOT regexp_matches(before, '{before}') AND NOT regexp_matches(after, '{after}')"
+    # DuckDB's word boundary knows ASCII only: a separator before another letter still belongs to the span.
+    more = r" + CASE WHEN regexp_matches(after2, '^[ -.][\p{L}\p{N}]') THEN 1 ELSE 0 END" if detector == CARD else ""
     if detector == MAIL:
         edge += " AND NOT regexp_matches(regexp_extract(substr(t, 1, s), '[^\\s]*$'), '://')"
     return f"""{name}0 AS (SELECT {key}{keep}, {text} AS t, regexp_extract_all({text}, '{pattern}') AS ms, string_split_regex({text}, '{pattern}') AS ps FROM {table}),
@@ -171,7 +173,7 @@ def _cte(name: str, detector: str, table: str = "documents", key: str = "doc_id"
 {name}2 AS (SELECT *, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS s, ms[i] AS m FROM {name}1),
 {name}3 AS (SELECT *, CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END AS before, substr(t, s + length(m) + 1, 1) AS after, CASE WHEN s > 1 THEN substr(t, s - 1, 2) WHEN s = 1 THEN substr(t, 1, 1) ELSE '' END AS before2,
   substr(t, s + length(m) + 1, 2) AS after2, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM {name}2),
-{name}4 AS (SELECT *, CAST(s + length(m) AS INTEGER) AS e FROM {name}3 WHERE {edge}),
+{name}4 AS (SELECT *, CAST(s + length(m){more} AS INTEGER) AS e FROM {name}3 WHERE {edge}),
 {name} AS (SELECT {key}{keep}, t, s, e, {'trim(m)' if detector == CARD else 'm'} AS m, '{kind}' AS entity_type FROM {name}4)"""
 
 
