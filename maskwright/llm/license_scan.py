@@ -1,11 +1,12 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
 A file's units (its lines, its paragraphs, and as a whole if it is short) become
-sparse TF-IDF vectors over their words. Document frequencies of the templates'
-words are counted over all files; a word outside the templates only adds to a
-unit's norm, with the weight of a word seen nowhere. A unit shares postings with a
-template or is skipped. The best unit's template is the file's own licence if its
-cosine reaches ``LEAST``. A licence file (by name or, on request, a short text that
+sparse TF-IDF vectors over their words. Document frequencies of all words are
+counted over all files: those of the templates' words go to the driver, those of
+other words are joined to the units that hold them. As a word weighs 1 at least, a
+unit that cannot reach ``LEAST`` whatever its other words weigh is known before the
+join and skipped; a file of such units only has score 0. The best unit's template is
+the file's own licence if its cosine reaches ``LEAST``. A licence file (by name or, on request, a short text that
 is one as a whole) licenses its directory; files without a licence of their own inherit from the
 nearest ancestor directory that has one, found by joining on every ancestor path.
 
@@ -33,6 +34,8 @@ LEAST = 0.75
 #: A whole text of at most so many words is a unit, and may be a licence file.
 WHOLE = 400
 SALTS = 16
+#: A task's counts of words go out in parts of about so many words.
+COUNTED = 500_000
 NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -55,6 +58,13 @@ def terms(text: str) -> list[str]:
 VOCABULARY = sorted({t for ts in TEMPLATES.values() for x in ts for t in terms(x)})
 
 
+#: Dot product with a template, its name, squared norm of the words of templates, whether it is the whole text, other words and their counts.
+Unit = tuple[float, str, float, bool, tuple[tuple[str, int], ...]]
+_NAMES = ("dot", "name", "norm", "whole", "words")
+_WORDS = pa.list_(pa.struct([("term", pa.string()), ("c", pa.int64())]))
+_UNITS = pa.list_(pa.struct([("dot", pa.float64()), ("name", pa.string()), ("norm", pa.float64()), ("whole", pa.bool_()), ("words", _WORDS)]))
+
+
 class Matcher:
     """Scores units against the templates."""
 
@@ -80,67 +90,115 @@ class Matcher:
                 if math.sqrt(left) >= LEAST:
                     self.strong.add(t)
 
-    def best(self, words: list[str]) -> tuple[float, str | None]:
+    def measure(self, words: list[str]) -> tuple[float, str | None, float, dict[str, int]]:
+        """Dot product with the nearest template, its name, the squared norm of the words of templates, and the other words."""
         if self.strong.isdisjoint(words):
-            return 0.0, None
+            return 0.0, None, 0.0, {}
         scores: dict[int, float] = defaultdict(float)
-        norm = 0.0
+        norm, others = 0.0, {}
         for t, c in Counter(words).items():
-            w = c * self.idf.get(t, self.rest)
+            if t not in self.idf:
+                others[t] = c
+                continue
+            w = c * self.idf[t]
             norm += w * w
-            for i, x in self.postings.get(t, ()):
+            for i, x in self.postings[t]:
                 scores[i] += w * x
-        if not scores:
-            return 0.0, None
         i = min(scores, key=lambda k: (-scores[k], self.names[k]))
-        return scores[i] / math.sqrt(norm), self.names[i]
+        return scores[i], self.names[i], norm, others
 
-    def scan(self, text: str | None) -> tuple[str | None, float, bool]:
-        """Licence, cosine, and whether the whole text is the licence."""
+    def best(self, words: list[str]) -> tuple[float, str | None]:
+        """Cosine and template, if all words outside the templates are seen nowhere: no less is possible."""
+        dot, name, norm, others = self.measure(words)
+        return _cosine(dot, norm, others, self.rest), name
+
+    def units(self, text: str | None) -> list[Unit]:
+        """The units that may reach LEAST and be the text's best, and the whole text if it may reach LEAST."""
         if not text:
-            return None, 0.0, False
-        best: tuple[float, str | None] = (0.0, None)
-        lines = text.split("\n")
-        units = [terms(x) for x in lines]
-        para: list[str] = []
-        for line, unit in zip([*lines, ""], [*units, []]):
-            if line.strip():
-                if unit:
-                    best = max(best, self.best(unit), key=lambda s: s[0])
-                    para += unit
-            else:
-                if para:
-                    best = max(best, self.best(para), key=lambda s: s[0])
-                para = []
-        words = [t for u in units for t in u]
-        whole = self.best(words) if 0 < len(words) <= WHOLE else (0.0, None)
-        best = max(best, whole, key=lambda s: s[0])
-        name = best[1] if best[0] >= LEAST else None
-        return name, min(1.0, best[0]), whole[0] >= LEAST and name is not None
+            return []
+        found: list[tuple[float, Unit]] = []
+        floor = 0.0
+        for whole, words in _pieces(text):
+            dot, name, norm, others = self.measure(words)
+            most = _cosine(dot, norm, others, 1.0)  # a word of all files weighs 1
+            if name is not None and most >= LEAST - 1e-9:
+                floor = max(floor, _cosine(dot, norm, others, self.rest))
+                found.append((most, (dot, name, norm, whole, tuple(others.items()))))
+        return list(dict.fromkeys(u for most, u in found if u[3] or most >= floor - 1e-9))
+
+
+def _cosine(dot: float, norm: float, others: dict[str, int], weight: float) -> float:
+    total = norm + weight * weight * sum(c * c for c in others.values())
+    return dot / math.sqrt(total) if total else 0.0
+
+
+def _pieces(text: str) -> Iterator[tuple[bool, list[str]]]:
+    """The words of each line, of each paragraph and of the whole text, which comes with True."""
+    words: list[str] = []
+    para: list[str] = []
+    for line in [*text.split("\n"), ""]:
+        if line.strip():
+            unit = terms(line)
+            if unit:
+                yield False, unit
+                para += unit
+        elif para:
+            yield False, para
+            words += para
+            para = []
+    if 0 < len(words) <= WHOLE:
+        yield True, words
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, count, files = set(VOCABULARY), Counter(), 0
+    """(term, files that hold it) in parts; the empty term counts the files."""
+    count: Counter[str] = Counter()
+
+    def part() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+
     for batch in batches:
         for t in batch.column(0):
-            files += 1
+            count[""] += 1
             text = t.as_py()
             if text:
-                count.update(known.intersection(terms(text)))
-    count[""] = files
-    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+                count.update(set(terms(text)))
+            if len(count) > COUNTED:
+                yield part()
+                count.clear()
+    yield part()
 
 
 def _scan(df: dict[str, int], files: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Matcher(df, files)
         for batch in batches:
-            out = list(zip(*(tool.scan(t.as_py()) for t in batch.column(2)))) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=["id", "path", "own", "score", "whole"])
+            units = [[dict(zip(_NAMES, (*u[:4], [{"term": t, "c": c} for t, c in u[4]]))) for u in tool.units(t.as_py())] for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(units, _UNITS)], names=["row", "id", "path", "units"])
 
     return run
 
 
+def _scored(files: DataFrame) -> DataFrame:
+    """(id, path, own, score, whole) of every file: the best of its units, weighed by the frequencies of all words."""
+    parts = files.select("text").mapInArrow(_frequencies, "term string, n long")
+    counts = stage(parts.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
+    found = {r["term"]: r["n"] for r in counts.filter(F.col("term").isin(["", *VOCABULARY])).collect()}  # a row for each word of the templates
+    total = found.pop("", 0)
+    keyed = files.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), "path", "text")
+    kind = "array<struct<dot: double, name: string, norm: double, whole: boolean, words: array<struct<term: string, c: long>>>>"
+    scanned = stage(keyed.mapInArrow(_scan(found, total), f"row long, id long, path string, units {kind}"), "units")
+    units = scanned.select("row", F.posexplode("units").alias("u", "unit")).select("row", "u", "unit.*")
+    weight = F.log(F.lit(1.0 + total) / (1 + F.coalesce("n", F.lit(0)))) + 1
+    words = units.select("row", "u", F.explode("words").alias("word")).select("row", "u", "word.*")
+    others = words.join(counts, "term", "left").groupBy("row", "u").agg(F.sum(F.pow(F.col("c") * weight, F.lit(2.0))).alias("others"))
+    cosine = F.round(F.col("dot") / F.sqrt(F.col("norm") + F.coalesce("others", F.lit(0.0))), 9)
+    best = units.join(others, ["row", "u"], "left").withColumn("score", F.least(F.lit(1.0), cosine)).groupBy("row").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("best"), F.max(F.col("whole") & (F.col("score") >= LEAST)).alias("whole"))
+    score = F.coalesce(-F.col("best.s"), F.lit(0.0))
+    return scanned.select("row", "id", "path").join(best, "row", "left").select("id", "path", F.when(score >= LEAST, F.col("best.name")).alias("own"), score.alias("score"), F.coalesce("whole", F.lit(False)).alias("whole"))
+
+
 def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
@@ -151,10 +209,7 @@ def scan_licences(files: DataFrame, by_text: bool = False) -> DataFrame:
     by_text: a short file whose whole text is a licence is a licence file, whatever its name.
     """
     prepare(files.sparkSession)
-    counts = files.select("text").mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r["term"]: r["n"] for r in counts.collect()}  # a row for each word of the templates
-    total = found.pop("", 0)
-    scanned = stage(files.select("id", "path", "text").mapInArrow(_scan(found, total), "id long, path string, own string, score double, whole boolean"), "licences")
+    scanned = stage(_scored(files), "licences")
     base = F.regexp_extract(F.col("path"), r"(?s)([^/]*)$", 1)
     holders = scanned.filter(F.col("own").isNotNull() & F.col("path").isNotNull() & ((F.col("whole") & F.lit(by_text)) | base.rlike(NAMES)))
     dirs = holders.groupBy(parent(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "own")).alias("best"))

@@ -394,6 +394,21 @@ def test_licence_cosine_equals_brute_force():
         assert abs(score - best) < 1e-9 or (score == 0 and best < license_scan.LEAST)
 
 
+def test_licence_weighs_all_words(spark):
+    asked = "Licensed, note, under the common Apache License, Version 2.0."
+    base = [asked, *(f"note some common prose number{i % 7}" for i in range(39))]
+    got = {}
+    for k in (1, 100):
+        rows = [(i, f"d/{i}", t) for i, t in enumerate(base * k)]
+        got[k] = license_scan.scan_licences(spark.createDataFrame(rows, "id long, path string, text string")).filter("id = 0").first()
+        df = collections.Counter(w for _, _, t in rows for w in set(license_scan.terms(t)))
+        weight = {w: np.log((1 + len(rows)) / (1 + df[w])) + 1 for t in (asked, license_scan.TEMPLATES["Apache-2.0"][0]) for w in license_scan.terms(t)}
+        own = set(license_scan.terms(license_scan.TEMPLATES["Apache-2.0"][0]))
+        want = (sum(weight[w] ** 2 for w in own) / sum(x**2 for x in weight.values())) ** 0.5
+        assert abs(got[k].score - want) < 1e-5 and got[k].own_licence == "Apache-2.0"
+    assert abs(got[1].score - got[100].score) < 0.01
+
+
 # 10 ------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     page = "<p>é</p>" * 30
