@@ -1,12 +1,13 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-A file's units (its lines, its paragraphs, and as a whole if it is short) become
+A file's units (its lines, its paragraphs and the whole text) become
 sparse TF-IDF vectors over their words. Document frequencies of all words are
 counted over all files: those of the templates' words go to the driver, those of
 other words are joined to the units that hold them. As a word weighs 1 at least, a
 unit that cannot reach ``LEAST`` whatever its other words weigh is known before the
-join and skipped; a file of such units only has score 0. The best unit's template is
-the file's own licence if its cosine reaches ``LEAST``. A licence file (by name or, on request, a short text that
+join and skipped; a file of such units only has score 0. Whole texts of any length are
+compared with full licence texts too (``licence_texts``). The best unit's template is
+the file's own licence if its cosine reaches ``LEAST``. A licence file (by name or, on request, a text that
 is one as a whole) licenses its directory; files without a licence of their own inherit from the
 nearest ancestor directory that has one, found by joining on every ancestor path.
 
@@ -28,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.llm.licence_texts import FULL
 from maskwright.llm._store import prepare, stage
 
 LEAST = 0.75
-#: A whole text of at most so many words is a unit, and may be a licence file.
-WHOLE = 400
 SALTS = 16
 #: A task's counts of words go out in parts of about so many words.
 COUNTED = 500_000
@@ -54,8 +54,8 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-#: A line without any of these words' starts can't reach LEAST with any template: see ``Matcher``.
-VOCABULARY = sorted({t for ts in TEMPLATES.values() for x in ts for t in terms(x)})
+#: The words of all templates and full texts.
+VOCABULARY = sorted({t for ts in [*TEMPLATES.values(), FULL.values()] for x in ts for t in terms(x)})
 
 
 #: Dot product with a template, its name, squared norm of the words of templates, whether it is the whole text, other words and their counts.
@@ -65,34 +65,39 @@ _WORDS = pa.list_(pa.struct([("term", pa.string()), ("c", pa.int64())]))
 _UNITS = pa.list_(pa.struct([("dot", pa.float64()), ("name", pa.string()), ("norm", pa.float64()), ("whole", pa.bool_()), ("words", _WORDS)]))
 
 
+class Index:
+    """Postings of the words of some templates."""
+
+    def __init__(self, templates: list[tuple[str, str]], idf: dict[str, float]) -> None:
+        self.names = [name for name, _ in templates]
+        self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for i, (_, text) in enumerate(templates):
+            weights = {t: c * idf[t] for t, c in Counter(terms(text)).items()}
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            for t, w in weights.items():
+                self.postings[t].append((i, w / norm))
+
+    def reached(self, words: set[str]) -> list[int]:
+        """Templates that a unit of these words may reach LEAST with: no cosine exceeds the norm of the shared part of the template."""
+        share = [0.0] * len(self.names)
+        for t in self.postings.keys() & words:
+            for i, x in self.postings[t]:
+                share[i] += x * x
+        return [i for i, s in enumerate(share) if s >= LEAST * LEAST - 1e-9]
+
+
 class Matcher:
     """Scores units against the templates."""
 
     def __init__(self, df: dict[str, int], files: int) -> None:
         self.idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
         self.rest = math.log(1 + files) + 1
-        self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.names: list[str] = []
-        for name in sorted(TEMPLATES):
-            for text in TEMPLATES[name]:
-                weights = {t: c * self.idf[t] for t, c in Counter(terms(text)).items()}
-                norm = math.sqrt(sum(w * w for w in weights.values()))
-                for t, w in weights.items():
-                    self.postings[t].append((len(self.names), w / norm))
-                self.names.append(name)
-        # Terms by rarity: a unit without one of the strong terms lacks too much of every template to reach LEAST.
-        self.strong = set()
-        for i in range(len(self.names)):
-            own = sorted(((w, t) for t, ps in self.postings.items() for j, w in ps if j == i))
-            left = 0.0
-            for w, t in own:  # the weakest terms whose weights alone stay below LEAST
-                left += w * w
-                if math.sqrt(left) >= LEAST:
-                    self.strong.add(t)
-
-    def measure(self, words: list[str]) -> tuple[float, str | None, float, dict[str, int]]:
+        self.heads = Index([(name, text) for name in sorted(TEMPLATES) for text in TEMPLATES[name]], self.idf)
+        self.full = Index(sorted(FULL.items()), self.idf)
+
+    def measure(self, words: list[str], index: Index) -> tuple[float, str | None, float, dict[str, int]]:
         """Dot product with the nearest template, its name, the squared norm of the words of templates, and the other words."""
-        if self.strong.isdisjoint(words):
+        if not index.reached(set(words)):
             return 0.0, None, 0.0, {}
         scores: dict[int, float] = defaultdict(float)
         norm, others = 0.0, {}
@@ -102,14 +107,14 @@ class Matcher:
                 continue
             w = c * self.idf[t]
             norm += w * w
-            for i, x in self.postings[t]:
+            for i, x in index.postings.get(t, ()):
                 scores[i] += w * x
-        i = min(scores, key=lambda k: (-scores[k], self.names[k]))
-        return scores[i], self.names[i], norm, others
+        i = min(scores, key=lambda k: (-scores[k], index.names[k]))
+        return scores[i], index.names[i], norm, others
 
     def best(self, words: list[str]) -> tuple[float, str | None]:
         """Cosine and template, if all words outside the templates are seen nowhere: no less is possible."""
-        dot, name, norm, others = self.measure(words)
+        dot, name, norm, others = self.measure(words, self.heads)
         return _cosine(dot, norm, others, self.rest), name
 
     def units(self, text: str | None) -> list[Unit]:
@@ -118,8 +123,13 @@ class Matcher:
             return []
         found: list[tuple[float, Unit]] = []
         floor = 0.0
-        for whole, words in _pieces(text):
-            dot, name, norm, others = self.measure(words)
+        everything = terms(text)
+        have = set(everything)
+        pieces = [(True, everything, self.full)] if self.full.reached(have) else []
+        if self.heads.reached(have):
+            pieces += [(whole, words, self.heads) for whole, words in _pieces(text)]
+        for whole, words, index in pieces:
+            dot, name, norm, others = self.measure(words, index)
             most = _cosine(dot, norm, others, 1.0)  # a word of all files weighs 1
             if name is not None and most >= LEAST - 1e-9:
                 floor = max(floor, _cosine(dot, norm, others, self.rest))
@@ -146,7 +156,7 @@ def _pieces(text: str) -> Iterator[tuple[bool, list[str]]]:
             yield False, para
             words += para
             para = []
-    if 0 < len(words) <= WHOLE:
+    if words:
         yield True, words
 
 
@@ -206,7 +216,7 @@ def parent(path: Column) -> Column:
 def scan_licences(files: DataFrame, by_text: bool = False) -> DataFrame:
     """(id, path, own_licence, score, licence, licence_dir) of every row of files (id, path, text).
 
-    by_text: a short file whose whole text is a licence is a licence file, whatever its name.
+    by_text: a file whose whole text is a licence is a licence file, whatever its name.
     """
     prepare(files.sparkSession)
     scanned = stage(_scored(files), "licences")

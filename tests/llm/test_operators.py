@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import importlib
 import random
 import zlib
 
@@ -409,6 +410,17 @@ def test_licence_weighs_all_words(spark):
     assert abs(got[1].score - got[100].score) < 0.01
 
 
+def test_licence_full_texts(spark):
+    full = importlib.import_module("maskwright.llm.licence_texts").FULL
+    rows = [(i, f"{name}/7.txt", "Copyright (c) 2021 Jane Doe\n\n" + full[name]) for i, name in enumerate(sorted(full))]
+    rows += [(100 + i, f"{name}/src/x.txt", "plain words of a file") for i, name in enumerate(sorted(full))] + [(200, "none/x.txt", "plain words of a file")]
+    got = {r.path: r for r in license_scan.scan_licences(spark.createDataFrame(rows, "id long, path string, text string"), by_text=True).collect()}
+    for name in full:
+        assert got[f"{name}/7.txt"].own_licence == name and got[f"{name}/7.txt"].score > 0.9
+        assert got[f"{name}/src/x.txt"].licence == name and got[f"{name}/src/x.txt"].licence_dir == name
+    assert got["none/x.txt"].licence is None
+
+
 # 10 ------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     page = "<p>é</p>" * 30
