@@ -1,6 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-A file's units (its lines, its paragraphs and the whole text) become
+A file's units (its lines, its paragraphs, every window of a template's length and the
+whole text) become
 sparse TF-IDF vectors over their words. Document frequencies of all words are
 counted over all files: those of the templates' words go to the driver, those of
 other words are joined to the units that hold them. As a word weighs 1 at least, a
@@ -12,7 +13,8 @@ is one as a whole) licenses its directory; files without a licence of their own
 nearest ancestor directory that has one, found by joining on every ancestor path.
 
 Defined cases: null or empty texts have no licence of their own and may inherit; a
-null path has no directory; ties go to the first template by name, and of several
+null path has no directory; ties go to the first template by name; an SPDX tag names its
+licences by itself, with score 1; of several
 licence files in a directory to the highest cosine, then the first path; repeated
 rows count each; very long texts are read whole; an empty table gives no rows;
 other columns are ignored.
@@ -39,14 +41,20 @@ COUNTED = 500_000
 NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person" " obtaining a copy of this software", "This project is licensed under the MIT license."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
+    "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "This work is licensed under the GNU General Public License, version 2."),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    "LGPL-3.0": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person" " obtaining a copy of this software", "This project is licensed under the MIT license.", "Licensed under the MIT License."),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: An SPDX tag and the names that it may hold, with or without -only, -or-later and +.
+_SPDX = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)")
+_SPDX_NAME = re.compile(r"[a-z0-9][a-z0-9.-]*")
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -65,15 +73,50 @@ _WORDS = pa.list_(pa.struct([("term", pa.string()), ("c", pa.int64())]))
 _UNITS = pa.list_(pa.struct([("dot", pa.float64()), ("name", pa.string()), ("norm", pa.float64()), ("whole", pa.bool_()), ("words", _WORDS)]))
 
 
+#: Every name that a file may get, by its name in lower case.
+NAMED = {name.lower(): name for name in [*TEMPLATES, *FULL]}
+
+
+def tagged(text: str) -> str | None:
+    """The first by name of the known licences in the text's SPDX tags."""
+    found = set()
+    for tag in _SPDX.findall(text):
+        # Of an expression, words that join names are no names themselves; after the expression other text may follow.
+        rest = iter(tag.lower().replace("(", " ").replace(")", " ").split())
+        for word in rest:
+            m = _SPDX_NAME.match(word)
+            if m:
+                found.add(NAMED.get(re.sub(r"-(only|or-later)$", "", m[0].rstrip(".-"))))
+            joined = next(rest, None)
+            while joined == "with":  # an exception, which is no licence
+                next(rest, None)
+                joined = next(rest, None)
+            if joined not in ("and", "or"):
+                break
+    return min(found - {None}, default=None)
+
+
 class Index:
     """Postings of the words of some templates."""
 
     def __init__(self, templates: list[tuple[str, str]], idf: dict[str, float]) -> None:
         self.names = [name for name, _ in templates]
+        self.lengths: list[int] = []
+        self.weights: list[dict[str, float]] = []
+        self.strong: list[set[str]] = []
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, (_, text) in enumerate(templates):
             weights = {t: c * idf[t] for t, c in Counter(terms(text)).items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
+            self.lengths.append(len(terms(text)))
+            self.weights.append({t: w / norm for t, w in weights.items()})
+            # A unit without a strong term of the template can't reach LEAST with it: the weights of the others stay below.
+            left, strong = 0.0, set()
+            for t, w in sorted(weights.items(), key=lambda x: x[1]):
+                left += (w / norm) ** 2
+                if left >= LEAST * LEAST - 1e-9:
+                    strong.add(t)
+            self.strong.append(strong)
             for t, w in weights.items():
                 self.postings[t].append((i, w / norm))
 
@@ -123,11 +166,17 @@ class Matcher:
             return []
         found: list[tuple[float, Unit]] = []
         floor = 0.0
+        tag = tagged(text)
+        if tag:
+            floor = 1.0
+            found.append((1.0, (1.0, tag, 1.0, False, ())))
         everything = terms(text)
         have = set(everything)
         pieces = [(True, everything, self.full)] if self.full.reached(have) else []
-        if self.heads.reached(have):
+        near = self.heads.reached(have)
+        if near:
             pieces += [(whole, words, self.heads) for whole, words in _pieces(text)]
+            pieces += [(False, words, self.heads) for i in near for words in self.windows(everything, i)]
         for whole, words, index in pieces:
             dot, name, norm, others = self.measure(words, index)
             most = _cosine(dot, norm, others, 1.0)  # a word of all files weighs 1
@@ -137,6 +186,29 @@ class Matcher:
         return list(dict.fromkeys(u for most, u in found if u[3] or most >= floor - 1e-9))
 
 
+    def windows(self, words: list[str], i: int) -> Iterator[list[str]]:
+        """The windows of a template's length that may reach LEAST with it, kept up word by word."""
+        size, mine, strong = self.heads.lengths[i], self.heads.weights[i], self.heads.strong[i]
+        last = -1  # the first starts up to here are done
+        for p in (p for p, t in enumerate(words) if t in strong):
+            low, high = max(last + 1, p - size + 1, 0), min(p, len(words) - size)
+            if low > high:
+                continue
+            last = high
+            count: Counter[str] = Counter(words[low: low + size])
+            dot = sum(c * self.idf[t] * mine[t] for t, c in count.items() if t in mine)
+            norm = sum((c * self.idf.get(t, 1.0)) ** 2 for t, c in count.items())
+            for start in range(low, high + 1):
+                if dot > 0 and dot * dot >= (LEAST * LEAST - 1e-6) * norm:
+                    yield words[start: start + size]
+                if start < high:
+                    for t, step in ((words[start], -1), (words[start + size], 1)):
+                        w = self.idf.get(t, 1.0)
+                        norm += w * w * (2 * step * count[t] + 1)
+                        count[t] += step
+                        dot += step * w * mine.get(t, 0.0)
+
+
 def _cosine(dot: float, norm: float, others: dict[str, int], weight: float) -> float:
     total = norm + weight * weight * sum(c * c for c in others.values())
     return dot / math.sqrt(total) if total else 0.0

@@ -421,6 +421,41 @@ def test_licence_full_texts(spark):
     assert got["none/x.txt"].licence is None
 
 
+def test_licence_inside_longer_lines():
+    tool = license_scan.Matcher({}, 100_000)
+    filler = " ".join(f"filler{i}" for i in range(300))
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    cases = {
+        "Copyright (c) 2021 ACME Inc. Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0. All rights reserved.": "Apache-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one": "MPL-2.0", grant: "MIT",
+        "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */": "GPL-2.0", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: LicenseRef-x see MIT": None,
+        "You can redistribute it. This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.": "GPL-2.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.": "GPL-3.0",
+    }
+    for text, name in cases.items():
+        for wrapped in (text, f"{filler} {text} {filler}"):
+            units = tool.units(wrapped)
+            best = max(((license_scan._cosine(u[0], u[2], dict(u[4]), tool.rest), u[1]) for u in units), default=(0.0, None))
+            assert (best[1] if best[0] >= license_scan.LEAST else None) == name, (wrapped, best)
+
+
+def test_licence_windows_equal_brute_force():
+    tool = license_scan.Matcher({"license": 30, "the": 90, "version": 10}, 100)
+    draw = random.Random(9)
+    for _ in range(100):
+        i = draw.randrange(len(tool.heads.names))
+        template, size = [t for n in sorted(license_scan.TEMPLATES) for t in license_scan.TEMPLATES[n]][i], tool.heads.lengths[i]
+        words = [draw.choice(["zz", "the", "license", *license_scan.terms(template)]) for _ in range(40)]
+        at = draw.randrange(40)
+        words[at:at] = license_scan.terms(template)
+        want = []
+        for k in range(len(words) - size + 1):
+            weight = {t: c * tool.idf.get(t, 1.0) for t, c in collections.Counter(words[k: k + size]).items()}
+            if sum(w * tool.heads.weights[i].get(t, 0) for t, w in weight.items()) >= license_scan.LEAST * sum(w * w for w in weight.values()) ** 0.5:
+                want.append(words[k: k + size])
+        assert list(tool.windows(words, i)) == want and license_scan.terms(template) in want
+
+
 # 10 ------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     page = "<p>é</p>" * 30
