@@ -31,4 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark, last = now, pairs
         pairs = stage(_star(pairs), "edges")
         discard(last)
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out = stage(pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), "labels")
+    discard(pairs)
+    return out

@@ -60,8 +60,6 @@ class Sketcher:
         draw = np.random.default_rng(seed)
         self.edges = np.array([(i << 64) // self.bins + (1 if (i << 64) % self.bins else 0) for i in range(self.bins)], np.uint64)
         self.probes = draw.integers(0, self.bins, (self.bins, 64))
-        self.coef = draw.integers(1, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.band_seed = draw.integers(1, 2**63, bands, dtype=np.uint64)
 
     def sketch(self, hashes: np.ndarray) -> np.ndarray:
         """The least hash of each bin; an empty bin borrows from the first filled bin of its own random sequence."""
@@ -83,10 +81,8 @@ class Sketcher:
             out[empty] = out[have[np.searchsorted(have, empty) % len(have)]]
         return out
 
-    def band_keys(self, sketch: np.ndarray) -> np.ndarray:
-        return mix((sketch.reshape(self.bands, self.rows) * self.coef).sum(axis=1, dtype=np.uint64) + self.band_seed).view(np.int64)
-
     @staticmethod
-    def small(sketch: np.ndarray) -> bytes:
-        """A byte a bin, enough to estimate similarity."""
-        return (mix(sketch) & np.uint64(255)).astype(np.uint8).tobytes()
+    def halves(sketch: np.ndarray) -> tuple[bytes, bytes]:
+        """Two bytes a bin, apart: the low ones are enough to estimate similarity, both name a band."""
+        m = mix(sketch)
+        return tuple((m >> np.uint64(x)).astype(np.uint8).tobytes() for x in (0, 8))

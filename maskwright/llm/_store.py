@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maskwright.shipping import ship_package
 
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None)
     if not path:
+        if conf.get("spark.master", "") != "local" and not conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(shared_dir, "own", None)
         if path is None:
             path = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="maskwright-")
@@ -69,6 +72,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with ``ord``, a distinct number in document order, and whether it is the id, as it is where ids are distinct and never null.
+
+    Else rows are ordered by (doc_id, text), nulls last.
+    """
+    worst = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n")))).first()[0]
+    if worst is None or worst == 1:
+        return docs.withColumn("ord", F.col("doc_id").cast("long")), True
+    key = [F.col("doc_id").asc_nulls_last(), F.coalesce("text", F.lit(""))]
+    return stage(docs.orderBy(*key).withColumn("ord", F.monotonically_increasing_id()), "numbered"), False
+
+
 def local_file(path: str) -> str:
     """The local name of a file: URI (tests and single hosts)."""
     return os.path.abspath(path.removeprefix("file://").removeprefix("file:"))

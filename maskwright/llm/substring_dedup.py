@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm._store import discard, prepare, release, stage
+from maskwright.llm._store import discard, numbered, prepare, release, stage
 
 LEAST = 100
 GRAM = 20
@@ -206,15 +206,6 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ``ord``, a distinct number in document order: the id, if it is distinct and never null."""
-    worst = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n")))).first()[0]
-    if worst is None or worst == 1:
-        return docs.withColumn("ord", F.col("doc_id").cast("long"))
-    key = [F.col("doc_id").asc_nulls_last(), F.coalesce("text", F.lit(""))]
-    return stage(docs.orderBy(*key).withColumn("ord", F.monotonically_increasing_id()), "numbered")
-
-
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (ord, text): all (ord, n_bytes, sha), and (ord, spans) of rows that lose bytes."""
     spark = docs.sparkSession
@@ -277,7 +268,7 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
-    docs = numbered(docs.select("doc_id", "text"))
+    docs, _ = numbered(docs.select("doc_id", "text"))
     digests, spans = removed(docs)
     texts = docs.select("ord", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     whole = digests.join(spans, "ord", "left")
@@ -295,7 +286,7 @@ def cut(docs: DataFrame) -> DataFrame:
 
     Bytes left of a character that a cut went through are dropped with it.
     """
-    whole = numbered(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")))
+    whole, _ = numbered(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")))
     _, spans = removed(whole.select("ord", "text"))
     ids = _few(spans.select("ord"))
     lost = whole.join(ids, "ord", "left_semi").select("ord", F.col("text").cast("binary").alias("text"), "__row")
