@@ -30,31 +30,37 @@ DEFAULT = Window()
 
 
 def words_before(text: str, end: int, count: int) -> list[str]:
-    """The last words that end by ``end``; reads backwards, never the whole text."""
+    """The last words that end by ``end``, ASCII lower-cased; reads backwards, never the whole text."""
     reach = 160
-    while True:
+    while count:
         start = max(0, end - reach)
-        found = _WORD.findall(text[start:end])
+        found = _WORD.findall(ascii_lower(text[start:end]))
         # The first word may be cut where the slice begins, so one more is wanted.
         if start == 0 or len(found) > count:
-            return [ascii_lower(w) for w in found[-count:]] if count else []
+            return found[-count:]
         reach *= 4
+    return []
 
 
 def words_after(text: str, start: int, count: int) -> list[str]:
-    out: list[str] = []
-    for m in _WORD.finditer(text, start):
-        if len(out) == count:
-            break
-        out.append(ascii_lower(m.group()))
-    return out
+    """The first words from ``start`` on, ASCII lower-cased."""
+    reach = 80
+    while count:
+        found = _WORD.findall(ascii_lower(text[start: start + reach]))
+        if start + reach >= len(text) or len(found) > count:
+            return found[:count]
+        reach *= 4
+    return []
 
 
 def adjustment(text: str, start: int, end: int, terms: tuple[str, ...], window: Window = DEFAULT) -> float:
     """What context adds to a confidence. Terms are searched in the joined words, not word by word."""
     before = words_before(text, start, window.before)
     hay = " ".join(before + words_after(text, end, window.after))
-    hits = sum(t in hay for t in terms)
+    hits = 0
+    for t in terms:
+        if t in hay:
+            hits += 1
     gain = 0.0 if not hits else window.one if hits == 1 else window.more
     return gain - window.code if _CODE.intersection(before[-3:]) else gain
 

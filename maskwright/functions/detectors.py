@@ -9,6 +9,7 @@ from __future__ import annotations
 import ipaddress
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
@@ -118,9 +119,8 @@ def _no_digit_beyond(separators: str):
 
 # Email ----------------------------------------------------------------------
 _LABEL = rf"[{A}](?:[{A}-]{{0,61}}[{A}])?"
-_ATEXT = "[" + A + re.escape("-~}|{`_^?=+*'&%$#!.") + "]+"
-_QUOTED = '"' + r"[^\"\r\n]+" + '"'
-_EMAIL = re.compile("(?:" + "|".join((_QUOTED, _ATEXT)) + rf")@(?:{_LABEL}\.)+[A-Za-z]{{2,63}}")
+_ATEXTS = frozenset(string.ascii_letters + string.digits + "-~}|{`_^?=+*'&%$#!.")
+_AT_DOMAIN = re.compile(rf"@(?:{_LABEL}\.)+[A-Za-z]{{2,63}}")
 _EMAIL_TERMS = _terms("contact|email|contact:|mail:|e-mail:|email:")
 _BEFORE_MAIL = NAMEISH | {"/"}
 
@@ -130,27 +130,42 @@ def valid_email(candidate: str) -> bool:
     return bool(at and local) and "." in domain and ".." not in domain and domain[0] != "-" and domain[-1] != "-"
 
 
+def _email_spans(text: str) -> Iterable[tuple[int, int]]:
+    """Leftmost candidates, from each @: only the characters before it that may belong to it are looked at."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        s = at
+        if at > done and text[at - 1] == '"':
+            q = text.rfind('"', done, at - 1)
+            if 0 <= q < at - 2 and not {"\n", "\r"}.intersection(text[q:at]):
+                s = q
+        else:
+            while s > done and text[s - 1] in _ATEXTS:
+                s -= 1
+        m = _AT_DOMAIN.match(text, at) if s < at else None
+        if m:
+            done = m.end()
+            yield s, done
+        at = text.find("@", max(done, at + 1))
+
+
 def scan_email(text: str) -> list[Finding]:
     out: list[Finding] = []
-    at = text.find("@")
-    while at >= 0:  # line by line: no part of a match crosses one
-        lo = max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
-        ends = [i for i in (text.find("\n", at), text.find("\r", at)) if i >= 0]
-        hi = min(ends, default=len(text))
-        for m in _EMAIL.finditer(text, lo, hi):
-            s, e = m.span()
-            if not valid_email(m.group()) or not free(text, s, e, _BEFORE_MAIL, WORDISH):
-                continue
-            p = s
-            while p and not text[p - 1].isspace():
-                p -= 1
-            if "://" in text[p:s]:
-                continue
-            if text[s] == "'" and text[e: e + 1] == "'" and valid_email(text[s + 1: e]):
-                s += 1
-            c = text[s:e]
-            out.append(Finding("Email", s, e, c, clamp((0.80 if c[0] == '"' else 0.95) + adjustment(text, s, s, _EMAIL_TERMS)), "email_regex_v1"))
-        at = text.find("@", hi)
+    seen, scheme = 0, False  # whether :// lies between the last white space before ``seen`` and there
+    for s, e in _email_spans(text):
+        if not valid_email(text[s:e]) or not free(text, s, e, _BEFORE_MAIL, WORDISH):
+            continue
+        cut = s
+        while cut > seen and not text[cut - 1].isspace():
+            cut -= 1
+        scheme = "://" in text[cut:s] if cut > seen else scheme or "://" in text[max(0, seen - 2): s]
+        seen = s
+        if scheme:
+            continue
+        if text[s] == "'" and text[e: e + 1] == "'" and valid_email(text[s + 1: e]):
+            s += 1
+        c = text[s:e]
+        out.append(Finding("Email", s, e, c, clamp((0.80 if c[0] == '"' else 0.95) + adjustment(text, s, s, _EMAIL_TERMS)), "email_regex_v1"))
     return out
 
 
@@ -169,9 +184,12 @@ def scan_phone(text: str) -> list[Finding]:
     if not _numeric(text):
         return out
     for rule in _PHONES:
+        # Spans of one rule are disjoint and in order, so one of them can hold a later candidate: the last that begins by it.
+        starts, ends = [f.start for f in out], [f.end for f in out]
         for m in rule.finditer(text):
             s, e = m.span()
-            if any(s >= f.start and e <= f.end for f in out) or not valid_phone(m.group()) or not free(text, s, e, WORDISH):
+            at = bisect_right(starts, s) - 1
+            if (at >= 0 and e <= ends[at]) or not valid_phone(m.group()) or not free(text, s, e, WORDISH):
                 continue
             base = 0.90 if m.group().lstrip().startswith("+") else 0.70
             out.append(Finding("PhoneNumber", s, e, m.group(), clamp(base + adjustment(text, s, s, _PHONE_TERMS)), "phone_regex_v1"))
@@ -212,8 +230,12 @@ _HOST_TERMS = _terms("upstream|remote_host|server_addr|server_name|host:|ssh|pin
 _HOSTISH = WORDISH | {"."}
 
 
+_WHOLE_LABEL = re.compile(rf"[{A}](?:[{A}-]*[{A}])?")
+_INFRA_LABEL = re.compile("(?:" + "|".join(_INFRA) + r")(?:[0-9-].*)?", re.S)
+
+
 def valid_label(label: str) -> bool:
-    return bool(label) and label[0] != "-" and label[-1] != "-" and all(c in ALNUM or c == "-" for c in label)
+    return _WHOLE_LABEL.fullmatch(label) is not None
 
 
 def _host_class(candidate: str) -> float | None:
@@ -222,10 +244,7 @@ def _host_class(candidate: str) -> float | None:
         return 0.85
     if any(tuple(labels[-len(s):]) == s for s in _CLOUD):
         return 0.80
-    for label in labels:
-        if any(label == p or (label.startswith(p) and (label[len(p)] == "-" or label[len(p)] in string.digits)) for p in _INFRA):
-            return 0.80
-    return None
+    return 0.80 if any(map(_INFRA_LABEL.fullmatch, labels)) else None
 
 
 def valid_domain(candidate: str) -> bool:
@@ -250,8 +269,9 @@ def scan_hostname(text: str) -> list[Finding]:
             if valid_domain(c) and free(text, s, e, _HOSTISH) and text[s - 1: s] != "@" and ascii_lower(c[:4]) != "www." and text[max(0, s - 3): s] != "://":
                 add(s, e, _host_class(c) or 0.50)
     if "-" in text:
+        known = {(f.start, f.end) for f in out}
         for m in _MACHINE.finditer(text):
-            if free(text, *m.span(), _HOSTISH) and not any((f.start, f.end) == m.span() for f in out):
+            if free(text, *m.span(), _HOSTISH) and m.span() not in known:
                 add(*m.span(), 0.85)
     return sorted(out, key=lambda f: f.start)
 
@@ -290,10 +310,16 @@ def url_spans(text: str) -> list[tuple[int, int]]:
     out = []
     for m in _URL.finditer(text):
         s, e = m.span()
+        spare: dict[str, int] = {}  # closing brackets without an opening one, of those met so far
         while e > s:
             c = text[e - 1]
-            opener = _CLOSERS.get(c)
-            if c not in ".,;:!?" and not (opener and text.count(opener, s, e) < text.count(c, s, e)):
+            if c in _CLOSERS:
+                if c not in spare:
+                    spare[c] = text.count(c, s, e) - text.count(_CLOSERS[c], s, e)
+                if spare[c] <= 0:
+                    break
+                spare[c] -= 1
+            elif c not in ".,;:!?":
                 break
             e -= 1
         if s < e and valid_url(text[s:e]) and free(text, s, e, WORDISH):
@@ -471,6 +497,25 @@ def valid_jwt(candidate: str) -> bool:
     return len(parts) == 3 and parts[0][:2] == parts[1][:2] == "ey" and all(len(p) >= 8 and all(c in WORDISH for c in p) for p in parts)
 
 
+class _Chunked:
+    """Candidates for tokens in three parts, only in runs of their characters that have a sound second part."""
+
+    rule = re.compile(rf"\b{_URLSAFE}\.{_URLSAFE}\.{_URLSAFE}\b")
+    middle = re.compile(rf"\.ey[{A}_-]{{6,}}\.[{A}_-]{{8}}")
+    chunk = re.compile(rf"[{A}_.-]+")
+
+    def finditer(self, text: str) -> Iterable[re.Match]:
+        hi = 0
+        for m in self.middle.finditer(text):
+            if m.start() < hi:
+                continue
+            lo = m.start()
+            while lo > hi and (text[lo - 1] in WORDISH or text[lo - 1] == "."):
+                lo -= 1
+            hi = self.chunk.match(text, lo).end()
+            yield from self.rule.finditer(text, lo, hi + 1)  # with the next character, for the word boundary
+
+
 def valid_secret(candidate: str) -> bool:
     v = candidate.strip("\"',;")
     return len(v) >= 20 and len(set(v)) > 1 and all(c in _SECRET_BODY for c in v)
@@ -586,7 +631,7 @@ REGISTRY: tuple[Detector, ...] = (
     Detector("person_name_dictionary_v1", "PersonName", (), scan_person, lambda c: (m := _PERSON.fullmatch(c)) is not None and valid_name(m[1], m[2])),
     _detector("physical_address_us_v1", "PhysicalAddress", [_STREET], valid_street, _street_base, "recipient|deliver|located at|office|home|residence|mailing|billing|ship to|street|address", before=NAMEISH, trim=_trimmed(".,;)]"), needs=_numeric),
     _detector("aws_access_key_v1", "AwsAccessKey", [rx("<b>AKIA[A-Z0-9]{16}<b>")], lambda c: len(c) == 20, lambda c: 0.99, _SECRET_TERMS, needs=lambda t: "AKIA" in t),
-    _detector("jwt_regex_v1", "Jwt", [rf"\b{_URLSAFE}\.{_URLSAFE}\.{_URLSAFE}\b"], valid_jwt, lambda c: 0.92, _SECRET_TERMS, before=_SECRET_BEFORE, after=_SECRET_AFTER, needs=lambda t: "ey" in t and "." in t and ".ey" in t),
+    _detector("jwt_regex_v1", "Jwt", [_Chunked()], valid_jwt, lambda c: 0.92, _SECRET_TERMS, before=_SECRET_BEFORE, after=_SECRET_AFTER, needs=lambda t: ".ey" in t),
     Detector("api_key_context_v1", "ApiKey", (), scan_api_key, valid_secret),
     _detector("mac_address_regex_v1", "MacAddress", [rf"\b(?:[{HEX}]{{2}}[:-]){{5}}[{HEX}]{{2}}\b", rf"\b[{HEX}]{{4}}\.[{HEX}]{{4}}\.[{HEX}]{{4}}\b"], lambda c: sum(x in string.hexdigits for x in c) == 12, lambda c: 0.82,
               "nic|adapter|bssid|ethernet|hardware address|mac address|mac", before=frozenset(string.hexdigits + ":-."), needs=(_PAIRS.search, _QUADS.search)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 from maskwright.functions.detectors import Detector, Finding
@@ -17,6 +18,25 @@ def literal_spans(text: str, literals: Iterable[str]) -> list[tuple[int, int]]:
     return [m.span() for x in literals if x for m in re.finditer(re.escape(x), text)]
 
 
+def _union(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal runs that spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _meets(starts: list[int], ends: list[int], f: Finding) -> bool:
+    """Whether a run overlaps a finding: only the last one that begins before its end can."""
+    at = bisect_left(starts, f.end) - 1
+    return at >= 0 and f.start < ends[at]
+
+
 def _overlap(a: Finding, b: Finding) -> bool:
     return a.start < b.end and b.start < a.end
 
@@ -38,7 +58,7 @@ def report(findings: Iterable[Finding]) -> list[Finding]:
         while live < len(kept) and kept[live].end <= f.start:
             live += 1
         nested = f.recognizer_id.startswith(NESTED)
-        if nested and any(k.entity_type == "Url" and k.start <= f.start and f.end <= k.end for k in kept[live:]):
+        if nested and any(kept[i].entity_type == "Url" and kept[i].start <= f.start and f.end <= kept[i].end for i in range(live, len(kept))):
             kept.append(f)
             continue
         at = next((i for i in range(len(kept) - 1, live - 1, -1) if _overlap(f, kept[i])), None)
@@ -69,8 +89,8 @@ def scan(text: str, detectors: Iterable[Detector], minimum: float = 0.0, exclude
     found = [f for d in detectors for f in d.scan(text) if f.entity_type not in exclude]
     found += [Finding(DENY, s, e, text[s:e], 1.0, DENY_ID) for s, e in literal_spans(text, deny)]
     if allow:
-        free = literal_spans(text, allow)
-        found = [f for f in found if not any(s < f.end and f.start < e for s, e in free)]
+        starts, ends = _union(literal_spans(text, allow))
+        found = [f for f in found if not _meets(starts, ends, f)]
     return report(f for f in found if f.confidence >= minimum)
 
 

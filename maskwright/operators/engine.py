@@ -13,7 +13,7 @@ from maskwright.functions import resolve
 from maskwright.functions.detectors import REGISTRY, Detector, Finding, for_locale
 from maskwright.functions.entities import DENY, VARIANTS, by_name
 from maskwright.operators.masking import REDACT, Strategy, mask_column
-from maskwright.shipping import ship_package
+from maskwright.shipping import ship_package, spread
 
 FINDING_DDL = "struct<entity_type:string,start:int,end:int,cstart:int,cend:int,text:string,confidence:double,recognizer_id:string,applies:boolean>"
 FINDING = pa.struct(
@@ -104,7 +104,7 @@ def with_column(df: DataFrame, source: str, target: str, make: Callable[[list[st
             yield pa.RecordBatch.from_arrays([*b.columns, make(b.column(at).to_pylist())], names=[*b.schema.names, target])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, `{target}` {ddl}")
+    return spread(df).mapInArrow(run, f"{schema}, `{target}` {ddl}")
 
 
 def scan_column(df: DataFrame, text: str, config: Config = Config(), target: str = "findings") -> DataFrame:

@@ -211,12 +211,22 @@ def replacement(kind: Column, x: Column, strategy: Strategy = REDACT, key: Colum
 
 def mask_column(text: Column, findings: Column, strategy: Strategy = REDACT, key: Column | None = None) -> Column:
     """The text with each finding that ``applies`` replaced, from left to right."""
-    return F.aggregate(
-        F.filter(findings, lambda f: f["applies"]),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, f: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, f["cstart"] - a["at"]), replacement(f["entity_type"], f["text"], strategy, key)).alias("out"), f["cend"].alias("at")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    # Bound by a one-element transform, so that neither the bytes nor the list is made again for each finding.
+    bound = F.array(F.struct(text.cast("binary").alias("raw"), F.filter(findings, lambda f: f["applies"]).alias("found")))
+
+    def one(s: Column) -> Column:
+        def end(i: Column) -> Column:
+            return F.when(i > 0, F.get(s["found"], i - 1)["end"]).otherwise(0)
+
+        def part(f: Column, i: Column) -> Column:
+            gap = F.substring(s["raw"], end(i) + 1, f["start"] - end(i)).cast("string")
+            return F.concat(gap, replacement(f["entity_type"], f["text"], strategy, key))
+
+        last = end(F.size(s["found"]))
+        tail = F.substring(s["raw"], last + 1, F.octet_length(s["raw"]) - last).cast("string")
+        return F.array_join(F.concat(F.transform(s["found"], part), F.array(tail)), "")
+
+    return F.when(text.isNotNull(), F.transform(bound, one)[0])
 
 
 __all__ = ["DENY", "MaskError", "REDACT", "Strategy", "decrypt_column", "encrypt_column", "hash_column", "hashed", "mask_column", "partial", "replacement", "seed_column", "tag_column"]

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -28,3 +28,18 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, Path(root.name) / p.relative_to(root))
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+#: Bytes of input below which one task is as good as many.
+LEAST_BYTES = 1 << 16
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input is too small to be split so far; larger inputs and streams stay as they are."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if LEAST_BYTES < size < cores * split else df

@@ -1,6 +1,7 @@
 """Detectors, context scores and checksums on literals of our own."""
 
 import random
+import time
 
 import pytest
 
@@ -121,3 +122,25 @@ def test_noise_does_not_crash():
         text = bytes(draw.randrange(256) for _ in range(n * 3)).decode("utf-8", "replace")
         for f in Config("EU").findings(text):
             assert 0 <= f.start <= f.end <= len(text)
+
+
+DENSE = (
+    "Contact jane@example.com or +1 555 010 2233, card 4111 1111 1111 1111, ssn 123-45-6789, ip 10.1.2.3, key api_key=abcd1234efgh5678ijkl90, "
+    "https://x.org/a?m=u%40x.com, db-1.corp.example (212) 555-0143 /home/kay/.ssh/id born 1980-02-03\n"
+)
+#: Texts of one shape, on which a detector could be quadratic.
+SHAPES = (DENSE, "a@b.co,", "a", ")", '"a"@x.com ', "a.", "a-", "1", "a:", "/b", "[(", "+1 555 010 2233 ")
+
+
+@pytest.mark.parametrize("unit", SHAPES)
+def test_time_is_linear_in_the_text(unit):
+    config = Config("US", 0.5, allow=("4111", "jane"), deny=("corp",))
+
+    def seconds(n: int) -> float:
+        text = "https://x.com/" + unit * (n // len(unit)) + " x@y.co .ey"
+        began = time.process_time()
+        config.findings(text)
+        return time.process_time() - began
+
+    small = min(seconds(40_000) for _ in range(3))
+    assert seconds(160_000) < 8 * small + 0.2  # four times the text; quadratic would be sixteen
