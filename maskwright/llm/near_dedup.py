@@ -46,7 +46,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 NEXT, LEVELS = 15, 2
 SALTS = 16
 #: Rows of ids or pairs up to which they are broadcast (about 50 bytes a row in memory).
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def hopeful(threshold: int, bins: int) -> float:

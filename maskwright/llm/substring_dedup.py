@@ -43,7 +43,7 @@ GRAM = 20
 #: Windows looked at together; bounds memory on very long texts.
 PIECE = 1 << 19
 SALTS = 16
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 #: Names of one anchor that a task holds at once, with some 40 windows each.
 HOT = 4000
 _P = 0x9E3779B97F4A7C15 | 1

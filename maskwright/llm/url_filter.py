@@ -107,22 +107,21 @@ def fit(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 200, rat
     return tuple(int(v) for v in np.rint(w * SCALE)) + (round(b * SCALE),)
 
 
-def margin(host: Column, path: Column, weights: tuple[int, ...]) -> Column:
-    """(sum of weights) squared with its sign against the intercept: see ``verdict``."""
-    model = F.array(*[F.lit(x).cast("long") for x in weights[:-1]])
+def blocked(host: Column, path: Column, weights: tuple[int, ...]) -> Column:
+    """Sum of the weights of the distinct buckets / sqrt(their number) + intercept > 0: integers, then double arithmetic."""
+    model = F.expr(f"array({', '.join(f'{x}L' for x in weights[:-1])})")
 
     def of(mark: str, text: Column, n: int) -> Column:
         starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: (F.conv(F.substring(F.md5(F.concat(F.lit(mark), F.substring(text, i, F.lit(n)))), 1, 6), 16, 10).cast("int") % BUCKETS))
 
     every = F.array_distinct(F.concat(*[of(m, t, n) for m, t in (("h", host), ("p", path)) for n in GRAMS]))
-    total = F.aggregate(every, F.lit(0).cast("long"), lambda s, i: s + F.get(model, i))
-    return F.struct(total.alias("total"), F.size(every).alias("n"))
 
+    def over(buckets: Column) -> Column:
+        total = F.aggregate(buckets, F.lit(0).cast("long"), lambda s, i: s + F.get(model, i))
+        return total / F.sqrt(F.greatest(F.size(buckets), F.lit(1)).cast("double")) + F.lit(float(weights[-1])) > 0
 
-def blocked(m: Column, intercept: int) -> Column:
-    """total / sqrt(n) + intercept > 0, in double arithmetic."""
-    return m["total"] / F.sqrt(F.greatest(m["n"], F.lit(1)).cast("double")) + F.lit(float(intercept)) > 0
+    return F.transform(F.array(every), over)[0]  # bound by a one-element transform: the buckets are made once
 
 
 def filter_urls(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
@@ -135,9 +134,9 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
         rule = F.when(fits, host + path) if rule is None else rule.when(fits, host + path)
         verdict = F.when(fits, kind) if verdict is None else verdict.when(fits, kind)
     rule = F.lit(None).cast("string") if rule is None else rule
-    by_model = F.when(blocked(F.col("m"), weights[-1]), "block").otherwise("allow")
-    rows = rows.withColumn("rule", rule).withColumn("m", margin(F.col("host"), F.col("path"), weights))
-    return rows.select("page_id", "host", "path", "rule", (by_model if verdict is None else verdict.otherwise(by_model)).alias("verdict"))
+    # Asked only where no rule decides.
+    by_model = F.when(blocked(F.col("host"), F.col("path"), weights), "block").otherwise("allow")
+    return rows.select("page_id", "host", "path", rule.alias("rule"), (by_model if verdict is None else verdict.otherwise(by_model)).alias("verdict"))
 
 
 def query_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
