@@ -69,7 +69,7 @@ def _report(found, files_table, root: str, minimum: str, output: str) -> tuple[s
 
     found = reports.at_least(found, minimum)
     if output == "sarif":
-        text = reports.sarif_log(found).first().sarif
+        text = "".join(reports.sarif_lines(found))
         reports.check_sarif(text)
         return text, len(json.loads(text)["runs"][0]["results"])
     total = reports.audit_root(files_table, found, minimum).first().asDict()
@@ -132,7 +132,7 @@ def scan(options: argparse.Namespace) -> int:
 
         schema = "path string, location string, entity_type string, start int, end int, text string, confidence double, recognizer_id string"
         table = _spark().createDataFrame([(options.path, w, f["entity_type"], f["start"], f["end"], f["text"], f["confidence"], f["recognizer_id"]) for w, f in rows], schema)
-        print(reports.sarif_log(table).first().sarif)
+        print("".join(reports.sarif_lines(table)))
     else:
         print(f"file: {options.path}\nformat: {kind.title()}\nfindings: {len(rows)}")
         for p in parts:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import resolve
 from maskwright.functions.detectors import REGISTRY, Detector, Finding, for_locale
 from maskwright.functions.entities import DENY, VARIANTS, by_name
-from maskwright.operators.masking import REDACT, Strategy, mask_column
+from maskwright.operators.masking import REDACT, Strategy, with_mask
 from maskwright.shipping import ship_package, spread
 
 FINDING_DDL = "struct<entity_type:string,start:int,end:int,cstart:int,cend:int,text:string,confidence:double,recognizer_id:string,applies:boolean>"
@@ -121,7 +121,7 @@ def scan(df: DataFrame, text: str, config: Config = Config()) -> DataFrame:
     f = F.col("findings")
     by_type = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(f["entity_type"])), lambda t: F.struct(t, F.size(F.filter(f, lambda x: x["entity_type"] == t)).cast("long"))))
     if config.strategy is not None:
-        out = out.withColumn("masked_text", mask_column(F.col(text), f, config.strategy))
+        out = with_mask(out, "masked_text", F.col(text), f, config.strategy)
     return out.withColumn("stats", F.struct(F.size(f).cast("long").alias("total_findings"), by_type.alias("findings_by_type"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes_scanned")))
 
 
@@ -132,6 +132,38 @@ def findings_table(df: DataFrame, keys: Iterable[str], text: str, config: Config
     return found.select(*keys, F.inline("findings"))
 
 
+def mask_findings(df: DataFrame, text: str, findings: str = "findings", strategy: Strategy = REDACT, target: str = "masked_text") -> DataFrame:
+    """df with its text masked by findings from elsewhere: structs with entity_type and the byte span start, end; confidence counts in overlaps if it is there.
+
+    A span that is empty, out of the text or within a character fails the query.
+    """
+    ship_package(df.sparkSession)
+    i, j = df.columns.index(text), df.columns.index(findings)
+
+    def one(t: str | None, rows: list[dict] | None) -> list[dict]:
+        raw = (t or "").encode()
+        made = []
+        for r in rows or ():
+            if not 0 <= r["start"] < r["end"] <= len(raw):
+                raise ValueError("a finding's span lies outside its text")
+            try:
+                value = raw[r["start"]: r["end"]].decode()
+            except UnicodeDecodeError:
+                raise ValueError("a finding's span cuts a character") from None
+            made.append(Finding(r["entity_type"], r["start"], r["end"], value, r.get("confidence") or 0.0, r.get("recognizer_id") or ""))
+        # Byte offsets serve for both kinds: masks cut bytes.
+        return [{"entity_type": f.entity_type, "start": f.start, "end": f.end, "cstart": f.start, "cend": f.end, "text": f.text, "confidence": f.confidence, "recognizer_id": f.recognizer_id, "applies": True} for f in resolve.disjoint(made)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([one(t, f) for t, f in zip(b.column(i).to_pylist(), b.column(j).to_pylist())], pa.list_(FINDING))
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "__applied"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    out = spread(df).mapInArrow(run, f"{schema}, __applied array<{FINDING_DDL}>")
+    return with_mask(out, target, F.col(text), F.col("__applied"), strategy).drop("__applied")
+
+
 def sanitize(df: DataFrame, text: str, config: Config = Config(), style: str = "brackets") -> DataFrame:
     """df with ``clean_text`` and its restore ``mapping``; treat the mapping as a secret."""
     kind = pa.struct([("clean_text", pa.string()), ("mapping", pa.list_(_MAPPING))])
@@ -176,4 +208,4 @@ def mask_text(text: str, findings: list[Finding], replacements: Callable[[Findin
     return "".join(out) + text[at:]
 
 
-__all__ = ["Config", "ConfigError", "DENY", "findings_table", "mapping_table", "mask_text", "replace", "restore", "sanitize", "scan", "scan_column"]
+__all__ = ["Config", "ConfigError", "DENY", "findings_table", "mapping_table", "mask_findings", "mask_text", "replace", "restore", "sanitize", "scan", "scan_column"]

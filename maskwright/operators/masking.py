@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.entities import DENY, VARIANTS, tag
@@ -130,9 +130,15 @@ def _partial(kind: Column, x: Column, s: Strategy) -> Column:
     )
 
 
-def hash_column(x: Column, salt: str | None = None, length: int = 16) -> Column:
+def secret(value: str | None) -> Column | None:
+    """A key or salt as a column of a one-row table, so that no plan shows it."""
+    return None if value is None else SparkSession.active().createDataFrame([(value,)], "secret string").scalar()
+
+
+def hash_column(x: Column, salt: Column | str | None = None, length: int = 16) -> Column:
     length = max(8, min(64, length))
-    return F.concat(F.lit("HASH:"), F.substring(F.sha2(F.concat(F.lit(salt or ""), x), 256), 1, length))
+    salt = secret(salt) if isinstance(salt, str) else salt
+    return F.concat(F.lit("HASH:"), F.substring(F.sha2(x if salt is None else F.concat(salt, x), 256), 1, length))
 
 
 def seed_column(x: Column) -> Column:
@@ -194,25 +200,26 @@ def decrypt_column(x: Column, key: Column, strict: bool = True) -> Column:
 
 
 def replacement(kind: Column, x: Column, strategy: Strategy = REDACT, key: Column | None = None) -> Column:
-    """What stands for a finding. For encryption, pass the key as a column so that no plan shows it."""
+    """What stands for a finding. key: the key or salt as a column; without it the strategy's own."""
     if strategy.kind == "redact":
         return tag_column(kind)
     if strategy.kind == "partial":
         return _partial(kind, x, strategy)
     if strategy.kind == "hash":
-        salt = strategy.salt
+        salt = key if key is not None else secret(strategy.salt)
         return F.when(kind == "UserPath", _user_path(x, lambda n: hash_column(n, salt))).otherwise(hash_column(x, salt))
     if strategy.kind == "replace":
         return _replace(kind, x)
     if strategy.kind == "encrypt":
-        return encrypt_column(x, key if key is not None else F.lit(strategy.key))
+        return encrypt_column(x, key if key is not None else secret(strategy.key))
     return F.lit(strategy.text)
 
 
 def mask_column(text: Column, findings: Column, strategy: Strategy = REDACT, key: Column | None = None) -> Column:
-    """The text with each finding that ``applies`` replaced, from left to right."""
+    """The text with each finding that ``applies`` replaced, from left to right. Without ``key`` a strategy's secret is a literal: see ``with_mask``."""
     # Bound by a one-element transform, so that neither the bytes nor the list is made again for each finding.
-    bound = F.array(F.struct(text.cast("binary").alias("raw"), F.filter(findings, lambda f: f["applies"]).alias("found")))
+    own = key if key is not None else F.lit(strategy.key or strategy.salt) if strategy.key or strategy.salt else None
+    bound = F.array(F.struct(text.cast("binary").alias("raw"), F.filter(findings, lambda f: f["applies"]).alias("found"), F.lit(None).cast("string").alias("own") if own is None else own.alias("own")))
 
     def one(s: Column) -> Column:
         def end(i: Column) -> Column:
@@ -220,7 +227,7 @@ def mask_column(text: Column, findings: Column, strategy: Strategy = REDACT, key
 
         def part(f: Column, i: Column) -> Column:
             gap = F.substring(s["raw"], end(i) + 1, f["start"] - end(i)).cast("string")
-            return F.concat(gap, replacement(f["entity_type"], f["text"], strategy, key))
+            return F.concat(gap, replacement(f["entity_type"], f["text"], strategy, None if own is None else s["own"]))
 
         last = end(F.size(s["found"]))
         tail = F.substring(s["raw"], last + 1, F.octet_length(s["raw"]) - last).cast("string")
@@ -229,4 +236,12 @@ def mask_column(text: Column, findings: Column, strategy: Strategy = REDACT, key
     return F.when(text.isNotNull(), F.transform(bound, one)[0])
 
 
-__all__ = ["DENY", "MaskError", "REDACT", "Strategy", "decrypt_column", "encrypt_column", "hash_column", "hashed", "mask_column", "partial", "replacement", "seed_column", "tag_column"]
+def with_mask(df: DataFrame, target: str, text: Column, findings: Column, strategy: Strategy = REDACT) -> DataFrame:
+    """df with the masked text; a key or salt comes from a one-row table, so that no plan shows it (but on streams, which can't read one)."""
+    own = strategy.key or strategy.salt
+    if own is None or df.isStreaming:
+        return df.withColumn(target, mask_column(text, findings, strategy))
+    return df.withColumn("__secret", secret(own)).withColumn(target, mask_column(text, findings, strategy, F.col("__secret"))).drop("__secret")
+
+
+__all__ = ["DENY", "MaskError", "REDACT", "Strategy", "decrypt_column", "encrypt_column", "hash_column", "hashed", "mask_column", "partial", "replacement", "secret", "seed_column", "tag_column", "with_mask"]

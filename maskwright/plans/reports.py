@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,15 +98,10 @@ def sarif_rules(results: DataFrame) -> DataFrame:
     return rules.withColumn("rule_index", (F.row_number().over(Window.orderBy("rule_id")) - 1).cast("long"))
 
 
-def sarif_log(findings: DataFrame, uri: str = "path", tool: str = "maskwright") -> DataFrame:
-    """One row: the SARIF 2.1.0 document as JSON."""
+def _sarif_results(findings: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
+    """Rules, and results as JSON with the columns that order them."""
     results = sarif_results(findings, uri)
     rules = sarif_rules(results)
-    rule = F.struct(
-        F.col("rule_id").alias("id"), F.col("entity_type").alias("name"), F.struct(F.concat("entity_type", F.lit(" detected")).alias("text")).alias("shortDescription"),
-        F.struct(F.concat(F.lit("A possible "), "entity_type", F.lit(" value was found.")).alias("text")).alias("fullDescription"),
-        F.struct("level").alias("defaultConfiguration"), F.struct(F.lit("high").alias("precision"), F.array(*map(F.lit, ("pii", "privacy", "security"))).alias("tags")).alias("properties"),
-    )
     region = F.struct(F.col("start_line").alias("startLine"), F.col("start_column").alias("startColumn"), F.col("start_line").alias("endLine"), F.col("end_column").alias("endColumn"))
     result = F.struct(
         F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), "level", F.lit("fail").alias("kind"), F.struct(F.col("message").alias("text")).alias("message"),
@@ -113,13 +109,54 @@ def sarif_log(findings: DataFrame, uri: str = "path", tool: str = "maskwright")
         F.struct(F.col("fingerprint").alias("primaryLocationLineHash")).alias("partialFingerprints"),
         F.struct(F.col("entity_type").alias("entityType"), "confidence", F.col("recognizer_id").alias("recognizerId"), F.col("location").alias("adapterLocation")).alias("properties"),
     )
-    listed = results.join(F.broadcast(rules.select("rule_id", "rule_index")), "rule_id").select(F.lit(1).alias("k"), F.struct("uri", "start_line", "start_column", "fingerprint").alias("o"), result.alias("r"))
-    listed = listed.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]).alias("results"))
-    ruled = rules.groupBy(F.lit(1).alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("rule_index"), rule.alias("r")))), lambda x: x["r"]).alias("rules"))
-    one = listed.sparkSession.range(1).select(F.lit(1).alias("k")).join(ruled, "k", "left").join(listed, "k", "left")
-    empty = "array()"
-    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.coalesce("rules", F.expr(f"cast({empty} as {ruled.schema['rules'].dataType.simpleString()})")).alias("rules")).alias("driver")).alias("tool"), F.coalesce("results", F.expr(f"cast({empty} as {listed.schema['results'].dataType.simpleString()})")).alias("results"))
-    return one.select(F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
+    index = F.broadcast(rules.select("rule_id", "rule_index"))  # a row per type
+    return rules, results.join(index, "rule_id").select("uri", "start_line", "start_column", "fingerprint", F.to_json(result).alias("value"))
+
+
+def _sarif_head(rules: DataFrame, tool: str) -> str:
+    listed = [
+        {
+            "id": r.rule_id, "name": r.entity_type, "shortDescription": {"text": f"{r.entity_type} detected"}, "fullDescription": {"text": f"A possible {r.entity_type} value was found."},
+            "defaultConfiguration": {"level": r.level}, "properties": {"precision": "high", "tags": ["pii", "privacy", "security"]},
+        }
+        for r in rules.orderBy("rule_index").collect()  # a row per type
+    ]
+    head = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": listed}}, "results": []}]}
+    return json.dumps(head).removesuffix("]}]}")
+
+
+def sarif_lines(findings: DataFrame, uri: str = "path", tool: str = "maskwright") -> Iterator[str]:
+    """The SARIF 2.1.0 document in pieces: its head, a result at a time in order, its end. Holds one partition."""
+    rules, results = _sarif_results(findings, uri)
+    yield _sarif_head(rules, tool)
+    comma = ""
+    for r in results.orderBy("uri", "start_line", "start_column", "fingerprint").toLocalIterator():
+        yield comma + r.value
+        comma = ","
+    yield "]}]}"
+
+
+def write_sarif(findings: DataFrame, path: str, uri: str = "path", tool: str = "maskwright") -> None:
+    """Write the SARIF document as one file: executors sort and write the results, the driver only joins their files byte by byte."""
+    spark = findings.sparkSession
+    rules, results = _sarif_results(findings, uri)
+    parts = f"{path}.parts"
+    # Each result ends in a comma and a line end; the last comma is made harmless by leaving the last result's out.
+    results.orderBy("uri", "start_line", "start_column", "fingerprint").select("value").write.mode("overwrite").option("lineSep", ",\n").text(parts)
+    hadoop, copy = spark._jvm.org.apache.hadoop, spark._jvm.org.apache.commons.io.IOUtils.copyLarge
+    conf = spark._jsc.hadoopConfiguration()
+    folder, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    files = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen())
+    out = fs.create(target, True)
+    out.write(bytearray(_sarif_head(rules, tool).encode()))
+    for k, (name, size) in enumerate(files):
+        source = fs.open(hadoop.fs.Path(folder, name))
+        copy(source, out, 0, size - 2 * (k == len(files) - 1))
+        source.close()
+    out.write(bytearray(b"]}]}"))
+    out.close()
+    fs.delete(folder, True)
 
 
 def check_sarif(text: str) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import resolve
 from maskwright.operators.engine import FINDING, FINDING_DDL, Config, ConfigError, finding_rows, scan_column, with_column
-from maskwright.operators.masking import mask_column
+from maskwright.operators.masking import with_mask
 from maskwright.sources import formats
 
 _PART = pa.struct([("location", pa.string()), ("findings", pa.list_(FINDING)), ("masked_value", pa.string())])
@@ -39,7 +39,7 @@ def scan_lines(df: DataFrame, text: str = "value", keys: Iterable[str] = (), con
     """Plain text: a row per line, also without findings, with findings and masked_line."""
     keys = list(keys)
     out = scan_column(lines(df, text, keys), "line", config)
-    return out if config.strategy is None else out.withColumn("masked_line", mask_column(F.col("line"), F.col("findings"), config.strategy))
+    return out if config.strategy is None else with_mask(out, "masked_line", F.col("line"), F.col("findings"), config.strategy)
 
 
 def scan_log_lines(df: DataFrame, line: str = "value", config: Config = Config()) -> DataFrame:
@@ -106,7 +106,7 @@ def csv_cells(df: DataFrame, columns: Iterable[str], row_number: str, config: Co
     cells = F.explode(F.array(*[F.struct(F.lit(df.columns.index(c)).alias("column_index"), F.lit(c).alias("column_name"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in names]))
     out = df.select(F.col(row_number).cast("long").alias("row_number"), cells.alias("c")).select("row_number", "c.*")
     out = scan_column(out, "value", config)
-    return out if config.strategy is None else out.withColumn("masked_value", mask_column(F.col("value"), F.col("findings"), config.strategy))
+    return out if config.strategy is None else with_mask(out, "masked_value", F.col("value"), F.col("findings"), config.strategy)
 
 
 def mask_columns(df: DataFrame, columns: Iterable[str], config: Config = Config()) -> DataFrame:
@@ -127,7 +127,7 @@ def mask_columns(df: DataFrame, columns: Iterable[str], config: Config = Config(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     out = text.mapInArrow(run, f"{schema}, __found array<array<{FINDING_DDL}>>")
     for i, c in enumerate(names):
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), mask_column(F.col(c), F.col("__found")[i], config.strategy)))
+        out = with_mask(out, c, F.col(c), F.col("__found")[i], config.strategy)
     return out.drop("__found")
 
 
@@ -184,12 +184,25 @@ def audit_paths(root: str) -> list[str]:
     return sorted(out)
 
 
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, format, value, skipped) of the files below a directory of any file system, listed and read by executors.
+
+    Hidden files and folders are left out, as are names that begin with an underscore, which Spark keeps for its own; ignore files
+    are a matter of working copies, for which ``audit_paths`` is there.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _decoded(files.filter(~F.col("path").rlike(r"/\.[^/]*(/|$)")))
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, format, value, skipped) of a list of files; those with NUL bytes or invalid UTF-8 are skipped."""
-    files = spark.read.format("binaryFile").load(paths)
+    return _decoded(spark.read.format("binaryFile").load(paths))
+
+
+def _decoded(files: DataFrame) -> DataFrame:
     skipped = F.contains("content", F.lit(b"\0")) | ~F.is_valid_utf8(F.col("content").cast("string"))
     path = F.regexp_replace("path", "^file:/*", "/")
     return files.select(path.alias("path"), format_of(F.col("path")).alias("format"), F.when(~skipped, F.col("content").cast("string")).alias("value"), skipped.alias("skipped"))
 
 
-__all__ = ["audit_paths", "csv_cells", "join_lines", "lines", "located_findings", "mask_columns", "read_csv", "read_files", "read_text", "resolve", "scan_documents", "scan_lines", "scan_log_lines"]
+__all__ = ["audit_paths", "csv_cells", "join_lines", "lines", "located_findings", "mask_columns", "read_csv", "read_files", "read_text", "read_tree", "resolve", "scan_documents", "scan_lines", "scan_log_lines"]

@@ -114,11 +114,11 @@ def test_files(spark, tmp_path):
     root = reports.audit_root(files, found).first()
     assert (root.files_scanned, root.files_skipped, root.total_findings, root.severity) == (3, 2, 3, "high")
     assert reports.audit_files(reports.at_least(found, "high")).count() == 1
-    sarif = reports.sarif_log(found).first().sarif
+    sarif = "".join(reports.sarif_lines(found))
     reports.check_sarif(sarif)
     log = json.loads(sarif)["runs"][0]
     assert [r["id"] for r in log["tool"]["driver"]["rules"]] == ["EMAIL_DETECTED", "SSN_DETECTED"] and len(log["results"]) == 3
-    reports.check_sarif(reports.sarif_log(found.filter("false")).first().sarif)
+    reports.check_sarif("".join(reports.sarif_lines(found.filter("false"))))
     reports.write_audit_events(reports.audit_events(found, "scan"), str(tmp_path / "events"))
     assert "123-45" not in "".join(p.read_text() for p in (tmp_path / "events").glob("*.json"))
 
@@ -175,3 +175,42 @@ def test_sql_functions(spark):
     assert [r.m for r in spark.sql("SELECT pii_mask(t) AS m FROM texts ORDER BY id").collect()] == ["é [EMAIL]", None, "x"]
     got = spark.sql("SELECT id, f.* FROM texts, LATERAL pii_findings(t) f").collect()
     assert [(r.id, r.entity_type, r.start, r.cstart) for r in got] == [(1, "Email", 3, 2)]
+
+
+def test_sarif_file_equals_the_lines(spark, tmp_path):
+    rows = [(f"f{i % 7}.txt", f"line:{i}", "Email" if i % 3 else "CreditCard", i, i + 5, 0.9, "r") for i in range(100)]
+    found = spark.createDataFrame(rows, "path string, location string, entity_type string, start int, end int, confidence double, recognizer_id string")
+    for name, table in (("all", found), ("none", found.filter("false"))):
+        reports.write_sarif(table, f"file://{tmp_path}/{name}.sarif")
+        text = (tmp_path / f"{name}.sarif").read_text()
+        reports.check_sarif(text)
+        assert json.loads(text) == json.loads("".join(reports.sarif_lines(table)))
+    assert not list(tmp_path.glob("*.parts"))
+
+
+def test_mask_findings_from_elsewhere(spark):
+    kind = "id int, t string, findings array<struct<entity_type:string,start:int,end:int>>"
+    rows = [(1, "é mail a@b.co", [("Email", 8, 14)]), (2, "xyz", None), (3, None, []), (4, "abcdef", [("Url", 0, 4), ("Email", 1, 3), ("Ssn", 4, 6)])]
+    got = {r.id: r.masked_text for r in E.mask_findings(spark.createDataFrame(rows, kind), "t").collect()}
+    assert got == {1: "é mail [EMAIL]", 2: "xyz", 3: None, 4: "[URL][SSN]"}
+    for bad in ((0, 9), (1, 2), (2, 2)):
+        with pytest.raises(Exception, match="span"):
+            E.mask_findings(spark.createDataFrame([(1, "é", [("Email", *bad)])], kind), "t").collect()
+
+
+def test_no_plan_shows_a_key_or_salt(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co")], "id int, t string")
+    key = "ab" * 32
+    for strategy in (M.Strategy("encrypt", key=key), M.hashed("pepper")):
+        out = E.scan(df, "t", E.Config(strategy=strategy))
+        plan = out._jdf.queryExecution().toString()
+        assert key not in plan and "pepper" not in plan
+        assert out.first().masked_text.startswith("mail ENC[" if strategy.kind == "encrypt" else "mail HASH:")
+
+
+def test_directory_trees(spark, tmp_path):
+    for name, data in {"a/b.json": b"{}", "a/.git/x.txt": b"x", "c.csv": b"h\n", ".hidden": b"x", "d.bin": b"a\0b", "e.txt": b"\xff"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.removeprefix(str(tmp_path) + "/"): (r.format, r.skipped) for r in readers.read_tree(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a/b.json": ("json", False), "c.csv": ("csv", False), "d.bin": ("text", True), "e.txt": ("text", True)}
