@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from maskwright.operators import masking as M
 from maskwright.operators import native
 from maskwright.operators.engine import Config, findings_table, mapping_table, restore, sanitize, scan
-from maskwright.plans import reports
+from maskwright.plans import made, reports
 from maskwright.sources import readers
 from maskwright.streaming import streams
 
@@ -64,6 +64,18 @@ def _dihedral(a: str, b: str) -> str:
             f"ELSE CASE WHEN {b} < 5 THEN 5 + ({a} - {b} + 10) % 5 ELSE ({a} - {b} + 10) % 5 END END)")
 
 
+def _verhoeff(n: int) -> str:
+    """Verhoeff's check of the n digits of v: 0 if they are sound. One table of permuted digits, one fold over the dihedral group."""
+    once, table = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4], [list(range(10))]
+    for _ in range(7):
+        table.append([once[x] for x in table[-1]])
+    digit = f"([{', '.join(map(str, table))}])[i % 8 + 1][CAST(substr(v, {n} - i, 1) AS INTEGER) + 1]"
+    return f"list_reduce(list_prepend(0, range(0, {n})), lambda c, i: {_dihedral('c', digit)})"
+
+
+_VERHOEFF = _verhoeff(12)
+_LUHN_ANY = ("list_sum(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN (length(v) - i) % 2 = 0 THEN CAST(substr(v, i, 1) AS INTEGER) "
+             "WHEN CAST(substr(v, i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(v, i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(v, i, 1) AS INTEGER) END)) % 10 = 0")
 _CPF1, _CPF2 = list(range(10, 1, -1)), list(range(11, 1, -1))
 _BSN = [*range(9, 1, -1), -1]
 _CNPJ1 = [*range(5, 1, -1), *range(9, 1, -1)]
@@ -95,21 +107,26 @@ MADE = {
     "detect_card": (CARD, "US", "pay with ", f"concat('4', {_digits(15)})", _luhn(16), "0.99"),
     "detect_phone": ("phone_regex_v1", "US", "reach ", f"concat('(', substr({_digits(10)}, 1, 3), ') ', substr({_digits(10)}, 4, 3), '-', substr({_digits(10)}, 7, 4))",
                      "length(replace(regexp_replace(v, '[^0-9]', '', 'g'), substr(v, 2, 1), '')) > 0", "0.7"),
-    "detect_mac": ("mac_address_regex_v1", "US", "seen ", f"concat('02:00:', substr({_digits(8)}, 1, 2), ':', substr({_digits(8)}, 3, 2), ':', substr({_digits(8)}, 5, 2), ':a', CAST({_N} % 10 AS STRING))", "TRUE", "0.82"),
+    "detect_mac": ("mac_address_regex_v1", "US", "seen ", f"concat('02:00:', substr({_digits(8)}, 1, 2), ':', substr({_digits(8)}, 3, 2), ':', substr({_digits(8)}, 5, 2), ':', CASE WHEN {_N} % 3 = 0 THEN 'g' ELSE 'a' END, CAST({_N} % 10 AS STRING))", "v NOT LIKE '%:g_'", "0.82"),
     "detect_ipv6": (IP, "US", "peer ", f"concat('2001:db8::', CAST({_N} % 10000 AS STRING), ':', CAST({_P} % 20000 AS STRING))", "length(split_part(v, ':', 5)) <= 4", "0.9"),
-    "detect_wallet": ("crypto_address_regex_v1", "US", "send ", f"concat('0x', substr(md5(CAST({_N} AS STRING)), 1, 32), '0123abcd')", "TRUE", "0.92"),
-    "detect_aws_key": ("aws_access_key_v1", "US", "found ", f"concat('AKIA', upper(substr(md5(CAST({_N} AS STRING)), 1, 16)))", "TRUE", "0.99"),
+    "detect_wallet": ("crypto_address_regex_v1", "US", "send ", f"concat('0x', substr(md5(CAST({_N} AS STRING)), 1, 32), CASE {_N} % 3 WHEN 0 THEN '0123abcd' WHEN 1 THEN '0123abc' ELSE '0123abcg' END)", "length(v) = 42 AND v NOT LIKE '%g'", "0.92"),
+    "detect_aws_key": ("aws_access_key_v1", "US", "found ", f"concat('AKIA', upper(substr(md5(CAST({_N} AS STRING)), 1, CASE WHEN {_N} % 3 = 0 THEN 15 ELSE 16 END)))", "length(v) = 20", "0.99"),
     "detect_jwt": ("jwt_regex_v1", "US", "got ", f"concat('eyJhbGci', 'OiJI.', CASE WHEN {_N} % 3 = 0 THEN 'xx' ELSE 'ey' END, substr(md5(CAST({_N} AS STRING)), 1, 20), '.', md5(CAST({_P} AS STRING)))", f"substr(v, 14, 2) = 'ey'", "0.92"),
     "detect_birth_date": ("date_of_birth_context_v1", "US", "dob ", f"concat(CAST(1890 + {_N} % 130 AS STRING), '-', lpad(CAST({_N} % 14 AS STRING), 2, '0'), '-', lpad(CAST({_P} % 33 AS STRING), 2, '0'))",
                           "CAST(substr(v, 1, 4) AS INT) >= 1900 AND TRY_CAST(v AS DATE) IS NOT NULL", "0.76 + 0.15"),
-    "detect_user_path": ("user_path_home_v1", "US", "cd ", f"concat('/home/', substr('abcdefghij', CAST({_N} % 10 + 1 AS INT), 1), CAST({_N} AS STRING), CASE WHEN {_N} % 2 = 0 THEN '/.ssh/id' ELSE '/doc' END)", "TRUE", "0.85 + CASE WHEN v LIKE '%.ssh%' THEN 0.05 ELSE 0.0 END"),
+    "detect_user_path": ("user_path_home_v1", "US", "cd ", f"concat('/home/', CASE WHEN {_N} % 5 = 0 THEN 'example' ELSE concat(substr('abcdefghij', CAST({_N} % 10 + 1 AS INT), 1), CAST({_N} AS STRING)) END, CASE WHEN {_N} % 2 = 0 THEN '/.ssh/id' ELSE '/doc' END)", "v NOT LIKE '/home/example/%'", "0.85 + CASE WHEN v LIKE '%.ssh%' THEN 0.05 ELSE 0.0 END"),
     "detect_hostname": ("hostname_infra_v1", "US", "up ", f"concat(CASE WHEN {_N} % 3 = 0 THEN 'db-' WHEN {_N} % 3 = 1 THEN 'x-' ELSE 'com-' END, CAST({_N} AS STRING), CASE WHEN {_N} % 2 = 0 THEN '.corp.example' ELSE '.shop.example' END)",
                         "v LIKE '%.corp.%' OR v LIKE 'db-%'", "CASE WHEN v LIKE '%.corp.%' THEN 0.85 ELSE 0.8 END"),
     "detect_person": ("person_name_dictionary_v1", "US", "met ", f"concat(CASE {_N} % 4 WHEN 0 THEN 'John' WHEN 1 THEN 'Maria' WHEN 2 THEN 'Jan' ELSE 'Zork' END, ' ', CASE {_P} % 3 WHEN 0 THEN 'Smith' WHEN 1 THEN 'Lee' ELSE 'Blorp' END)",
                       "v NOT LIKE 'Zork%' AND v NOT LIKE '%Blorp'", "CASE WHEN v LIKE 'Jan %' OR v LIKE '% Lee' THEN 0.42 ELSE 0.42 + 0.08 END"),
     "detect_street": ("physical_address_us_v1", "US", "at ", f"concat(CAST({_N} % 9000 + 1 AS STRING), ' Oak ', CASE {_P} % 3 WHEN 0 THEN 'St' WHEN 1 THEN 'Avenue' ELSE 'Thing' END)", "v NOT LIKE '%Thing'", "0.7"),
     "detect_url": ("url_regex_v1", "US", "see ", f"concat(CASE WHEN {_N} % 2 = 0 THEN 'https://' ELSE 'www.' END, 'h', CAST({_N} AS STRING), CASE WHEN {_N} % 5 = 0 THEN '-.io/' ELSE '.io/' END)", "v NOT LIKE '%-.io/'", "CASE WHEN v LIKE 'http%' THEN 0.9 ELSE 0.8 END"),
-    "detect_query_email": ("url_query_email_v1", "US", "see https://h.io/?a=1&m=", f"concat('u', CAST({_N} AS STRING), CASE WHEN {_N} % 2 = 0 THEN '%40' ELSE '@' END, 'x.com')", "TRUE", "0.95"),
+    "detect_query_email": ("url_query_email_v1", "US", "see https://h.io/?a=1&m=", f"concat('u', CAST({_N} AS STRING), CASE WHEN {_N} % 2 = 0 THEN '%40' ELSE '@' END, CASE WHEN {_N} % 3 = 0 THEN 'x' ELSE 'x.com' END)", "v LIKE '%.com'", "0.95"),
+    "detect_query_ssn": ("url_query_ssn_v1", "US", "see https://h.io/?a=1&s=", f"concat(substr({_digits(9)}, 1, 3), CASE WHEN {_N} % 2 = 0 THEN '%2D' ELSE '-' END, substr({_digits(9)}, 4, 2), '-', substr({_digits(9)}, 6, 4))",
+                         "substr(v, 1, 3) NOT IN ('000', '666') AND substr(v, 1, 1) <> '9' AND substr(replace(v, '%2D', '-'), 5, 2) <> '00' AND substr(v, length(v) - 3) <> '0000'", "0.85"),
+    "detect_aadhaar": ("in_aadhaar_verhoeff_v1", "IN", "aadhaar ", f"concat(CAST(2 + {_N} % 8 AS STRING), {_digits(11)})", f"{_VERHOEFF} = 0", "0.65 + 0.1"),
+    "detect_card_brands": (CARD, "US", "pay with ", f"concat(CASE {_N} % 8 WHEN 0 THEN '51' WHEN 1 THEN '34' WHEN 2 THEN '37' WHEN 3 THEN '6011' WHEN 4 THEN '65' WHEN 5 THEN '2221' WHEN 6 THEN '56' ELSE '35' END, substr({_digits(15)}, 1, CASE {_N} % 8 WHEN 1 THEN 13 WHEN 2 THEN 13 WHEN 3 THEN 12 WHEN 5 THEN 12 ELSE 14 END))",
+                           _LUHN_ANY, "CASE WHEN substr(v, 1, 2) IN ('56', '35') THEN 0.6 ELSE 0.99 END"),
 }
 _TYPES = {"detect_query_email": "Email"}
 
@@ -354,11 +371,7 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts by type again, from a stream of the documents that runs until all are read."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    place = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = made.shared_folder(spark, "stream")
     schema = _table(spark, sf_dir, "documents").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_dir(spark, sf_dir, "documents"))
     found = streams.findings_stream(source, ["doc_id"], "text", Config("US", only=FOUR))
@@ -413,7 +426,7 @@ for _name, _expr in _MASK_SQL.items():
 
 
 def queries() -> dict:
-    out = {n: _made(n) for n in MADE}
+    out = {n: _made(n) for n in MADE} | made.queries()
     out |= {"email_findings": _doc_findings(MAIL), "card_findings": _doc_findings(CARD), "ipv4_findings": _doc_findings(IP), "api_key_findings": _doc_findings(KEY)}
     out |= {
         "mask_hash": _masked_findings(M.hashed("pepper"), FOUR), "mask_partial": _masked_findings(M.partial(), (MAIL, IP)),
@@ -426,4 +439,4 @@ def queries() -> dict:
 
 @functools.cache
 def oracle_sql() -> dict[str, str]:
-    return {n: _made_sql(n) for n in MADE} | SQL
+    return {n: _made_sql(n) for n in MADE} | SQL | made.SQL

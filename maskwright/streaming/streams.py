@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,8 +39,11 @@ def write_lines(masked: DataFrame, path: str, checkpoint: str, available_now: bo
 
 def stream_summary(masked: DataFrame, types: tuple[str, ...] = (*VARIANTS, DENY)) -> DataFrame:
     """Lines, lines with findings, findings and findings by type so far (complete mode); types: those that are counted apart."""
+    def of(kind: str) -> Column:
+        return F.sum(F.size(F.filter("findings", lambda f: f["entity_type"] == kind)).cast("long"))
+
     n = F.size("findings")
-    each = [F.sum(F.size(F.filter("findings", lambda f, t=t: f["entity_type"] == t)).cast("long")).alias(f"t{i}") for i, t in enumerate(types)]
+    each = [of(t).alias(f"t{i}") for i, t in enumerate(types)]
     out = masked.groupBy().agg(F.count("*").alias("lines_scanned"), F.sum((n > 0).cast("long")).alias("lines_with_findings"), F.sum(n.cast("long")).alias("total_findings"), *each)
     counts = F.filter(F.array(*[F.struct(F.lit(t).alias("entity_type"), F.col(f"t{i}").alias("n")) for i, t in enumerate(types)]), lambda x: x["n"] > 0)
     return out.select("lines_scanned", "lines_with_findings", "total_findings", F.map_from_entries(counts).alias("findings_by_type"))
