@@ -4,8 +4,7 @@ Letters get random vectors of +1 and -1. A trigram's vector binds (multiplies) i
 letters' vectors, permuted (rotated) by their place; a text's vector bundles (adds)
 its trigrams' vectors, and a language's prototype bundles the unit vectors of its
 training texts. A text has the language whose prototype has the largest cosine.
-All letters take part: a to z and the border between words have vectors of their
-own, other letters share ``OTHERS`` vectors by code point.
+Every letter of Unicode has a vector of its own, as has the border between words.
 
 Prototypes are fitted on at most ``SAMPLE`` texts a language, those whose hashed id
 is least, out of the training part; every text is then judged, whole.
@@ -28,39 +27,44 @@ from pyspark.sql import types as T
 from maskwright.llm._store import prepare, stage
 
 WIDTH = 512
-OTHERS = 37
-CLASSES = 27 + OTHERS
 SAMPLE = 400
 SEED = 11
 
 
+class Letters(dict):
+    """The vector of a code point, drawn from a generator seeded by it; a bounded memory."""
+
+    most = 20_000
+
+    def __missing__(self, code: int) -> np.ndarray:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[code] = np.random.default_rng([SEED, code]).choice(np.array([-1, 1], np.int8), WIDTH)
+        return value
+
+
 class Encoder:
     """Turns a text into its vector."""
 
-    def __init__(self, width: int = WIDTH, seed: int = SEED) -> None:
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CLASSES, width))
-        self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
-        table = np.zeros(0x110000, np.uint8)  # 0: no letter
-        table[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
-        at = np.flatnonzero(table)
-        table[at] = 28 + (at * 2654435761 >> 7) % OTHERS
-        table[97:123] = np.arange(1, 27)
-        table[65:91] = np.arange(1, 27)
-        self.table = table
+    def __init__(self) -> None:
+        self.letters = Letters()
+        self.alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
     def vector(self, text: str | None) -> np.ndarray | None:
         """The bundle of the text's trigrams; None without letters."""
         if not text:
             return None
-        codes = self.table[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+        codes = np.where(self.alpha[codes], codes, 0)
         if not codes.any():
             return None
         codes = np.r_[0, codes, 0]
         codes = codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]  # one border between words
-        codes = np.where(codes == 0, 27, codes) - 1
-        grams = (codes[:-2] * CLASSES + codes[1:-1]) * CLASSES + codes[2:]
-        kinds, often = np.unique(grams, return_counts=True)
-        bound = self.first[kinds // CLASSES**2] * self.second[kinds // CLASSES % CLASSES] * self.third[kinds % CLASSES]
+        points, at = np.unique(codes, return_inverse=True)
+        own = np.stack([self.letters[c] for c in points.tolist()])
+        n = len(points)
+        kinds, often = np.unique((at[:-2] * n + at[1:-1]) * n + at[2:], return_counts=True)
+        bound = np.roll(own, 2, axis=1)[kinds // n**2] * np.roll(own, 1, axis=1)[kinds // n % n] * own[kinds % n]
         return often.astype(np.float32) @ bound.astype(np.float32)
 
 

@@ -8,7 +8,7 @@ documents are then taken floor(target / size) times whole; the fractional
 repetition takes documents in the order of a seeded digest until the rest of the
 target is filled. That order is cut at a digest prefix: sums per prefix find the
 one prefix where the target ends, and only its documents are ranked. No task
-holds a source. Rows of the source table (one per source) are ranked in one task.
+holds a source. Sources are ranked and summed by ranges where they are many.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; sources of size 0 get target 0; documents of size 0 are taken 0 times;
@@ -27,6 +27,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
+#: Sources that are ordered in one task.
+ONE_TASK = 100_000
 #: Hex digits of the digest prefix: 16 ** 3 cells a source at most.
 PREFIX = 3
 #: Copies of a source's row, so that a hot source's documents meet it in several tasks.
@@ -38,26 +40,40 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a one-row aggregate, as scalars."""
+    whole = row.select(F.struct(*row.columns).alias("row")).scalar()
+    return df.withColumn("__row", whole).select(*df.columns, "__row.*")
+
+
+def _before(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with the sum of columns over all rows before each one. Up to ``ONE_TASK`` rows are ordered in one task; more are cut into
+    ranges that are summed apart, and only a row a range is ordered in one task. Either way the sums are of whole numbers."""
+    if df.count() <= ONE_TASK:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return stage(df.select("*", *[F.coalesce(F.sum(a).over(w), F.lit(0).cast(df.schema[a].dataType)).alias(b) for a, b in sums.items()]), "ordered")
+    cut = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(F.col("__range").alias("r")).agg(*[F.sum(a).alias(a) for a in sums]).select("r", *[F.coalesce(F.sum(a).over(ranges), F.lit(0)).alias(f"__{b}") for a, b in sums.items()])
+    met = cut.join(F.broadcast(starts), F.col("__range") == F.col("r"))  # a row a partition
+    out = [(F.coalesce(F.sum(a).over(within), F.lit(0)) + F.col(f"__{b}")).cast(df.schema[a].dataType).alias(b) for a, b in sums.items()]
+    return stage(met.select(*df.columns, *out), "ordered")
+
+
 def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, size), one row per source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("n", F.row_number().over(order)).withColumn("w", w)
-    per = per.withColumn("cap", F.col("source_size") * float(max_epochs))
-    every = Window.partitionBy()
-    filled = Window.orderBy(F.col("cap") / F.col("w"), "n").rowsBetween(Window.unboundedPreceding, -1)
-    per = (
-        per.withColumn("total", F.sum("source_size").over(every) * float(share))
-        .withColumn("w_all", F.sum("w").over(every))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(filled), F.lit(0.0)))
-        .withColumn("w_before", F.coalesce(F.sum("w").over(filled), F.lit(0.0)))
-    )
+    per = stage(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("n") % len(weights) + 1).cast("int"))
+    per = _before(per.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], {"one": "n"}).withColumn("w", w)
+    per = per.withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("fill", F.col("cap") / F.col("w"))
+    per = _before(per, [F.col("fill").asc(), F.col("n").asc()], {"cap": "cap_before", "w": "w_before"})
+    per = _with_row(per, per.agg((F.sum("source_size") * float(share)).alias("total"), F.sum("w").alias("w_all")))
     # A source is clamped if, with all that fill up before it clamped, its share would exceed its cap.
     free = F.col("w") * (F.col("total") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before"))
     per = per.withColumn("clamped", free >= F.col("cap"))
-    per = per.withColumn("cap_sum", F.coalesce(F.sum(F.when(F.col("clamped"), F.col("cap"))).over(every), F.lit(0.0)))
-    per = per.withColumn("w_sum", F.coalesce(F.sum(F.when(F.col("clamped"), F.col("w"))).over(every), F.lit(0.0)))
+    full = [F.coalesce(F.sum(F.when(F.col("clamped"), F.col(c))), F.lit(0.0)).alias(f"{c}_sum") for c in ("cap", "w")]
+    per = _with_row(per, per.agg(*full))
     rest = F.col("w") * (F.col("total") - F.col("cap_sum")) / (F.col("w_all") - F.col("w_sum"))
     return per.select("source", "source_size", F.when(F.col("clamped"), F.col("cap")).otherwise(rest).alias("target"))
 

@@ -47,6 +47,7 @@ BROADCAST_IDS = 1_000_000
 #: Names of one anchor that a task holds at once, with some 40 windows each.
 HOT = 4000
 _P = 0x9E3779B97F4A7C15 | 1
+_SPREAD = np.int64(0x2545F4914F6CDD1D)
 _POWERS: list[np.ndarray] = []
 
 
@@ -91,33 +92,69 @@ def runs(text: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _joined(o: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs that half-open spans of texts cover, by text."""
+    order = np.lexsort((e, s, o))
+    o, s, e = o[order], s[order], e[order]
+    # Texts are laid one behind the other, so that one running maximum serves for all.
+    width = int(e.max()) + 1
+    place = np.cumsum(np.r_[False, o[1:] != o[:-1]]) * width
+    reach = np.maximum.accumulate(e + place)
+    new = np.flatnonzero(np.r_[True, (s + place)[1:] > reach[:-1]])
+    last = np.append(new[1:], len(s)) - 1
+    return o[new], s[new], reach[last] - place[last]
+
+
 def _named_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per run of windows: anchor hash, digest of the windows' union, place."""
+    """A row per run of windows: anchor hash, digest of the windows' union, place.
+
+    Of runs of one name in a batch only the first is for others to meet. The rest repeat it for certain: they come as joined
+    spans (start, end) under a hash of their own, so that a string of very many copies is no hot key.
+    """
     for batch in batches:
+        names, ids, found = [], [], []
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
             texts = [t.as_py() for t in part.column(1)]
-            found = [runs(t) for t in texts]
-            ids = np.repeat(part.column(0).to_numpy(), [len(f[0]) for f in found])
-            if len(ids):
-                names = [xxhash.xxh3_64_intdigest(t[a:b]) for t, (first, n, _) in zip(texts, found) for a, b in zip(first.tolist(), (first + n + LEAST - 1).tolist())]
-                first, n, h = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(ids), pa.array(first * 128 + n)], names=["h", "name", "ord", "run"])
+            each = [runs(t) for t in texts]
+            ids.append(np.repeat(part.column(0).to_numpy(), [len(f[0]) for f in each]))
+            names += [xxhash.xxh3_64_intdigest(t[a:b]) for t, (first, n, _) in zip(texts, each) for a, b in zip(first.tolist(), (first + n + LEAST - 1).tolist())]
+            found += each
+        if not names:
+            continue
+        o, name = np.concatenate(ids), np.array(names, np.uint64).view(np.int64)
+        first, n, h = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((first, o, name, h))
+        o, name, first, n, h = o[order], name[order], first[order], n[order], h[order]
+        again = np.r_[False, (h[1:] == h[:-1]) & (name[1:] == name[:-1])]
+        once = ~again
+        yield _run_rows(h[once], name[once], o[once], first[once] * 128 + n[once], np.full(once.sum(), -1))
+        if again.any():
+            own, s, e = _joined(o[again], first[again], first[again] + n[again] + LEAST - 1)
+            yield _run_rows(own * _SPREAD + s, np.zeros(len(s), np.int64), own, s, e)
+
+
+def _run_rows(h, name, o, run, e) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, name, o, run, e)], names=["h", "name", "ord", "run", "e"])
 
 
 def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs sorted by (h, name, ord, run): those that repeat an earlier run of their name (late),
-    and the first of each name whose anchor has other names too. Holds one row beside the batch."""
+    """From runs sorted by (h, name, ord, run): those that repeat an earlier run of their name (late, with their span's end),
+    and the first of each name whose anchor has other names too. Spans go through as they are. Holds one row beside the batch."""
     last: tuple[int, int] | None = None
     pending: tuple[int, int, int] | None = None  # the first run of the last anchor, until it has a second name
 
-    def rows(h, o, r, late) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(o, pa.int64()), pa.array(r, pa.int64()), pa.array(late, pa.bool_())], names=["h", "ord", "run", "late"])
+    def rows(h, o, r, e) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, o, r, e)], names=["h", "ord", "run", "e"])
 
     for batch in batches:
-        if not batch.num_rows:
+        h, name, o, r, e = (batch.column(i).to_numpy() for i in range(5))
+        spans = e >= 0
+        if spans.any():
+            yield rows(h[spans], o[spans], r[spans], e[spans])
+            h, name, o, r = (x[~spans] for x in (h, name, o, r))
+        if not len(h):
             continue
-        h, name, o, r = (batch.column(i).to_numpy() for i in range(4))
         new_h = np.r_[last is None or h[0] != last[0], h[1:] != h[:-1]]
         new_n = new_h | np.r_[last is None or name[0] != last[1], name[1:] != name[:-1]]
         group = np.cumsum(new_h)
@@ -126,13 +163,15 @@ def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         mixed[group[second]] = True
         if pending is not None:
             if mixed[0]:
-                yield rows([pending[0]], [pending[1]], [pending[2]], [False])
+                yield rows([pending[0]], [pending[1]], [pending[2]], [-1])
                 pending = None
             elif group[-1] > 0:
                 pending = None
         keep = ~new_n | second | (new_h & mixed[group])
         if keep.any():
-            yield rows(h[keep], o[keep], r[keep], ~new_n[keep])
+            first, n = r[keep] // 128, r[keep] % 128
+            late = ~new_n[keep]
+            yield rows(h[keep], o[keep], np.where(late, first, r[keep]), np.where(late, first + n + LEAST - 1, -1))
         if group[-1] > 0 and not mixed[-1]:
             at = int(np.flatnonzero(new_h)[-1])
             pending = (int(h[at]), int(o[at]), int(r[at]))
@@ -219,17 +258,17 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = texts.join(_few(copies.select("ord")), "ord", "left_anti").filter(F.octet_length("text") >= LEAST)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = once.mapInArrow(_named_runs, "h long, name long, ord long, run long").repartition(parts, "h").sortWithinPartitions("h", "name", "ord", "run")
-    left = stage(named.mapInArrow(_repeated_runs, "h long, ord long, run long, late boolean"), "runs")
+    named = once.mapInArrow(_named_runs, "h long, name long, ord long, run long, e long").repartition(parts, "h").sortWithinPartitions("h", "name", "ord", "run")
+    left = stage(named.mapInArrow(_repeated_runs, "h long, ord long, run long, e long"), "runs")
     release(spark)
-    again = left.filter("late").select("ord", F.expr("run div 128").alias("s"), F.expr(f"run div 128 + run % 128 + {LEAST - 1}").alias("e"))
+    again = left.filter("e >= 0").select("ord", F.col("run").alias("s"), "e")
 
-    open_ = left.filter("not late").groupBy("ord").agg(F.collect_list(F.struct("h", "run")).alias("pairs"))
-    own = once.join(_few(left.filter("not late").select("ord").distinct()), "ord", "left_semi").join(open_, "ord").select("ord", "text", "pairs")
+    open_ = left.filter("e < 0").groupBy("ord").agg(F.collect_list(F.struct("h", "run")).alias("pairs"))
+    own = once.join(_few(left.filter("e < 0").select("ord").distinct()), "ord", "left_semi").join(open_, "ord").select("ord", "text", "pairs")
     pieces = stage(own.mapInArrow(_cut_runs, "h long, ord long, run long, part binary"), "pieces")
     release(spark)
     # Anchors with more names than one task should hold: at most one in HOT rows.
-    hot = stage(left.filter("not late").groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(F.col("h").alias("g")), "hot")
+    hot = stage(left.filter("e < 0").groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(F.col("h").alias("g")), "hot")
     many_hot = hot.count()
     cool = pieces.join(_few(hot), F.col("h") == F.col("g"), "left_anti") if many_hot else pieces
     late = cool.repartition(parts, "h").sortWithinPartitions("h", "ord", "run").mapInArrow(_late_windows, "ord long, s long, e long")

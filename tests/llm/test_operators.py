@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,9 +72,9 @@ def test_topk_equals_brute_force(spark):
 
 
 def test_topk_large_scores(spark):
-    items = spark.createDataFrame([(i, [2**33 + i, -(2**20)]) for i in range(5)], "vec_id long, weights array<long>")
+    items = spark.createDataFrame([(i, [2**30 + i, -(2**20)]) for i in range(5)], "vec_id long, weights array<long>")
     got = topk.exact_top_k(items.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id"), items, 2).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(4, 2**33 * (2**33 + 4) + 2**40) , (3, 2**33 * (2**33 + 3) + 2**40)] or got[0].vec_id == 4
+    assert [(r.vec_id, r.score) for r in got] == [(4, 2**30 * (2**30 + 4) + 2**40), (3, 2**30 * (2**30 + 3) + 2**40)]
 
 
 # 2 -------------------------------------------------------------------------------
@@ -102,6 +103,15 @@ def test_mixing_targets(spark):
         assert all(abs(got[s] - want.get(s, 0)) < 1e-6 for s in sizes)
 
 
+def test_mixing_targets_by_ranges(spark, monkeypatch):
+    """Sources in more than one task: the same ranks and sums, to the last bit."""
+    draw = random.Random(12)
+    sizes = spark.createDataFrame([(f"s{draw.randrange(10**6)}" if i else None, draw.choice([0, 5, 90, 1000]) + draw.randrange(50)) for i in range(300)], "source string, size long")
+    want = sorted(map(str, mixing.targets(sizes).collect()))
+    monkeypatch.setattr(mixing, "ONE_TASK", 2)
+    assert sorted(map(str, mixing.targets(sizes.repartition(3)).collect())) == want
+
+
 def test_mixing_plan(spark, docs, empty):
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     rows = mixing.plan_mix(sizes).collect()
@@ -358,6 +368,18 @@ def test_substrings_random(spark, monkeypatch, hot, piece):
     assert n.sum() == len(text) - 99 and (first[1:] == first[:-1] + n[:-1]).all() and n.max() <= 81
 
 
+def test_substrings_of_hot_strings(spark):
+    """A string of very many copies reaches the shuffle once a batch, and a run of one byte as one span."""
+    passage = words(random.Random(3), 60, 10**6)
+    texts = [" " * 5000, *(f"{passage} {i} " + "b" * 300 for i in range(300)), " " * 700 + passage]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], names=["ord", "text"])
+    out = pa.Table.from_batches(list(substring_dedup._named_runs([batch]))).to_pandas()
+    once, spans = out[out.e < 0], out[out.e >= 0]
+    assert (once.h == once.h.mode()[0]).sum() <= 320 and not once.duplicated(["h", "name"]).any()
+    assert spans[spans.ord == 0][["run", "e"]].values.tolist() == [[1, 5000]] and spans.h.is_unique
+    check_removed(spark, [(i, t) for i, t in enumerate(texts)] + [(999, "c" * 200_000)])
+
+
 # 7 -------------------------------------------------------------------------------
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
@@ -413,6 +435,39 @@ def test_language(spark, docs, empty):
     assert nothing[0] == [] and {r.lang_pred for r in lang_id.predict(asked, *nothing).collect()} == {"und"}
 
 
+def plain_vector(text):
+    """Trigram by trigram, letter by letter."""
+    letters = {0: np.random.default_rng([lang_id.SEED, 0]).choice(np.array([-1, 1], np.int8), lang_id.WIDTH).astype(int)}
+    for c in set(text.lower()):
+        letters[ord(c)] = np.random.default_rng([lang_id.SEED, ord(c)]).choice(np.array([-1, 1], np.int8), lang_id.WIDTH).astype(int)
+    marks = [0]
+    for c in text.lower():
+        code = ord(c) if c.isalpha() else 0
+        if code or marks[-1]:
+            marks.append(code)
+    if marks[-1]:
+        marks.append(0)
+    total = np.zeros(lang_id.WIDTH, int)
+    for a, b, c in zip(marks, marks[1:], marks[2:]):
+        total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return total
+
+
+def test_language_equals_brute_force(spark):
+    draw = random.Random(14)
+    tongues = {"en": "the and of water house", "de": "der und von wasser haus über", "el": "το και του νερό σπίτι", "ru": "и вода дом что быть", "zh": "的 是 水 房子 不"}
+    rows = [(i, " ".join(draw.choice(tongues[k].split()) for _ in range(draw.randrange(2, 15))) + draw.choice(["", "!", " 12", "\n"]), k) for i, k in enumerate(sorted(tongues) * 8)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, profiles = lang_id.fit(train)
+    sums = {k: sum(np.rint(v / np.linalg.norm(v) * 1e6) for v in (plain_vector(t) for _, t, lang in rows if lang == k)) for k in tongues}
+    want = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    assert langs == sorted(tongues) and np.allclose(profiles, [want[k] for k in langs], atol=1e-5)
+    for r, (i, text, lang) in zip(lang_id.predict(train, langs, profiles).orderBy("doc_id").collect(), rows):
+        v = plain_vector(text)
+        cos = {k: float(w @ v / np.linalg.norm(v)) for k, w in want.items()}
+        assert r.lang_pred == max(sorted(cos), key=cos.get) == lang and abs(r.score - max(0, cos[r.lang_pred])) < 1e-4
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = lang_id.query_lang_id(spark, "/root/testdata/sf0.001").join(docs, "doc_id").filter("held_out AND lang IS NOT NULL").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
@@ -513,7 +568,7 @@ def test_licence_windows_equal_brute_force():
 # 10 ------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     page = "<p>é</p>" * 30
-    rows = [(1, "http://a/ b\n", page), (2, None, page), (0, "http://c", page), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", "x" * 3_000_000), (7, "u", "x" * 3_000_000), (8, "u", "x" * 3_000_000), (None, "u", page), (9, "u", "a\r\n\r\nb" * 40)]
+    rows = [(1, "http://a/ b\n\u200b", page), (2, None, page), (0, "http://c", page), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", "x" * 3_000_000), (7, "u", "x" * 3_000_000), (8, "u", "x" * 3_000_000), (None, "u", page), (9, "u", "a\r\n\r\nb" * 40)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
     index = warc.write_archives(table, f"file://{tmp_path}/w")
     got = warc.read_archives(index).collect()
@@ -524,12 +579,29 @@ def test_warc_round_trip(spark, tmp_path):
             first[h or ""] = min(first.get(h or "", i), i)
     for i, _, h in rows:
         b = (h or "").encode()
-        revisit = len(b) >= 100 and i is not None and first[h] != i
+        revisit = len(b) >= 100 and first[h] != i
         want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", first[h] if revisit else None))
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    known, named, urls = set(), set(), collections.defaultdict(set)
     for path in (tmp_path / "w").glob("*.zst"):
         data = path.read_bytes()
         frames = warc.read_seek_table(data)
+        bundle = warc._Frames(f"file://{path}")
+        for r in index.filter(F.col("bundle").endswith(path.name)).collect():
+            fields, _ = warc.parse_record(bundle.frame(r.frame)[r.record_at: r.record_at + r.record_size])
+            assert fields["WARC-Record-ID"] == f"<urn:uuid:{r.record_id}>"
+            known.add(fields["WARC-Record-ID"])
+            named |= {fields["WARC-Refers-To"]} if "WARC-Refers-To" in fields else set()
+            urls[fields.get("X-Page-ID")].add(warc.target_url(fields))
         assert sum(a for a, _ in frames) + 9 + 8 * len(frames) + 8 == len(data)
         assert [r for r in index.filter(F.col("bundle").endswith(path.name)).select("frame").distinct().toPandas().frame.sort_values()] == list(range(len(frames)))
+    assert named and named <= known
+    assert {None if k is None else int(k): v for k, v in urls.items()} == {i: {u or ""} for i, u, _ in rows}
     assert warc.read_archives(warc.write_archives(table.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_warc_copies_without_a_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", 0)
+    rows = [(i, f"http://a/{i}", f"{i % 3}" * 150) for i in range(40)] + [(None, "é\u200b\u2028%41", "0" * 150)]
+    got = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")).collect()
+    assert sorted((-1 if r.page_id is None else r.page_id, r.record_type, r.refers_to or 0) for r in got) == sorted((-1 if i is None else i, "response" if i in (0, 1, 2) else "revisit", int(h[0]) if i not in (0, 1, 2) else 0) for i, _, h in rows)
