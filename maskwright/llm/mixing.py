@@ -82,7 +82,7 @@ def plan_mix(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] =
     """(doc_id, size, source, source_size, target, taken) and the columns in keep, from (doc_id, source, size, *keep)."""
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = sizes.select("doc_id", "source", "size", *keep, key.alias("key")).withColumn("cell", F.substring("key", 1, PREFIX))
-    goal = targets(sizes, share, weights, max_epochs)
+    goal = stage(targets(sizes, share, weights, max_epochs), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
     cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
