@@ -204,8 +204,9 @@ def test_near_duplicates_of_repeated_ids(spark):
 
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
-    """Hot buckets: many documents that share half their words, few of them links of each other."""
+    """Hot buckets: many documents that share half their words, few of them links of each other. No broadcasts."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     draw = random.Random(21)
     base = [f"t{draw.randrange(10**7)}" for _ in range(150)]
     rows = []
@@ -358,6 +359,8 @@ def test_substrings_hard(spark, docs, empty):
 @pytest.mark.parametrize("hot, piece", [(4000, 1 << 19), (2, 700)])
 def test_substrings_random(spark, monkeypatch, hot, piece):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    if hot == 2:
+        monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", 0)
     draw = random.Random(9)
     parts = [words(draw, draw.randrange(5, 60), 10**6) for _ in range(12)]
     rows = [(i, " ".join(draw.choice([*parts, words(draw, 9, 10**6), "a" * draw.randrange(250)]) for _ in range(draw.randrange(1, 14)))) for i in range(60)]
