@@ -6,9 +6,12 @@ with optimal densification, 16 bits a bin) is cut into bands; classes that agree
 on a band share a bucket. A bucket's smallest document is its star centre, and only
 pairs of a centre and a member become candidates. A star alone would lose links
 between two members that are both unlike the centre. So buckets whose members still
-lie in several components after the stars are taken again. Those of more than
-``BLOCK`` members are first parted by each of the ``NEXT`` following bands, twice at
-most: two documents that are a link agree on half of all bands, so they meet again
+lie in several components after the stars are taken again. In those of more than
+``BLOCK`` members, the members whose sketches agree with the centre's in a third of
+the bins or more meet once a centre, however many buckets they share with it. Sketches that
+agree enough to be a link differ in d bins at most, so a pair that does not meet there has two
+members that agree with the centre in less than a third and d bins. These are parted by each
+of the ``NEXT`` following bands, twice at most, if they are still more than ``BLOCK``: two documents that are a link agree on half of all bands, so they meet again
 in a part. What is left is compared by sketches in blocks of bounded size, and pairs
 from different components that may reach the threshold become candidates too.
 Nothing is capped.
@@ -97,13 +100,23 @@ def _alike(bins: int, share: float):
     return run
 
 
+def _agreement(bins: int):
+    """Pairs (centre, node, low, low) with the number of bins in which the sketches agree."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_bytes(batch.column(2), bins) == _bytes(batch.column(3), bins)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int64())], names=["centre", "node", "same"])
+
+    return run
+
+
 def _block_pairs(bins: int, threshold: int, share: float):
     """Pairs of two chunks of a bucket that lie in different components and may be links, with the block where they were found."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
             own = left["i"][0].as_py() == right["j"][0].as_py()
-            x, y = _bytes(left["low"], bins), _bytes(right["low"], bins)
+            x, y = _bytes(left["low"], bins), np.ascontiguousarray(_bytes(right["low"], bins).T)  # a row a bin: sums run along rows
             (ld, lc, ln), (rd, rc, rn) = ([t[c].to_numpy() for c in ("node", "component", "n")] for t in (left, right))
             for k in range(len(ld)):
                 may = (rc != lc[k]) & (100 * np.minimum(rn, ln[k]) >= threshold * np.maximum(rn, ln[k]))
@@ -111,7 +124,7 @@ def _block_pairs(bins: int, threshold: int, share: float):
                     may &= rd > ld[k]
                 at = np.flatnonzero(may)
                 if len(at):
-                    at = at[(y[at] == x[k]).sum(axis=1) >= share * bins]
+                    at = at[(y[:, at] == x[k][:, None]).sum(axis=0, dtype=np.uint16) >= share * bins]
                     found.append((np.minimum(rd[at], ld[k]), np.maximum(rd[at], ld[k])))
         a, b = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int64),) * 2
         place = [np.full(len(a), left[c][0].as_py() if len(a) else 0, np.int64) for c in ("key", "i", "j")]
@@ -218,6 +231,27 @@ def _block_step(rest: DataFrame, info: DataFrame, sets: DataFrame, threshold: in
     return out
 
 
+def _near_centre(rest: DataFrame, sigs: DataFrame, bins: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """Of buckets (key, node, component) of more than BLOCK members: those near the centre, once a centre, and the buckets without pairs that meet there."""
+    # Two sketches that may be a link differ in at most this many bins, and so do their numbers of bins that agree with the centre's.
+    least, apart = bins // 3, int(bins - share * bins)
+    large = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("centre")).filter(F.col("m") > BLOCK).select("key", "centre")
+    large = stage(large, "large")
+    hot = stage(rest.join(_few(large), "key"), "hot")
+    cool = rest.join(_few(large), "key", "left_anti")
+    met = hot.select("centre", "node").distinct().join(sigs.select("node", F.col("low").alias("y")), "node")
+    met = met.join(sigs.select(F.col("node").alias("centre"), F.col("low").alias("x")), "centre").select("centre", "node", "x", "y")
+    same = stage(met.mapInArrow(_agreement(bins), "centre long, node long, same long"), "same")
+    named = hot.select("centre", "node", "component").distinct().join(same.filter(F.col("same") >= least), ["centre", "node"])
+    near = stage(named.select(F.xxhash64(F.lit("near"), "centre").alias("key"), "node", "component"), "near")
+    far = hot.join(same.filter(F.col("same") < least + apart), ["centre", "node"]).select("key", "node", "component")
+    several = far.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("key")
+    out = stage(cool.unionByName(far.join(several, "key", "left_semi")), "far")
+    for t in (large, hot, same):
+        discard(t)
+    return near, out
+
+
 def _parted(rest: DataFrame, sigs: DataFrame, labels: DataFrame, bands: int, rows: int) -> DataFrame:
     """Buckets of more than BLOCK members, parted by the bands that follow; the others as they are."""
     for level in range(LEVELS):
@@ -260,9 +294,10 @@ def _components(docs: DataFrame, width: int, threshold: int, bands: int, rows: i
     labels = components(links)
     rest = stage(_split(live, labels), "split")
     discard(live)
+    near, rest = _near_centre(rest, info, bins, hopeful(threshold, bins))
     rest = _parted(rest, info, labels, bands, rows)
-    more = _block_step(rest, info, sets, threshold, bins)
-    for t in (rest, sets, info, labels):
+    more = _block_step(rest.unionByName(near), info, sets, threshold, bins)
+    for t in (rest, near, sets, info, labels):
         discard(t)
     release(spark)
     final = components(links.unionByName(more))

@@ -222,6 +222,29 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """Many edits of one text, few of them links of each other: hot buckets of one centre are compared once."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    draw = random.Random(31)
+    base = [f"t{draw.randrange(10**7)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = base[:]
+        for at in draw.sample(range(200), draw.randrange(3, 9)):
+            w[at] = f"u{draw.randrange(10**7)}"
+        rows.append((i, " ".join(w)))
+        if i % 20 == 0:
+            w[100] = "other"
+            rows.append((1000 + i, " ".join(w)))
+    want = components(rows, 5, 80)
+    assert len(set(want.values())) > 100 and sum(v == 0 for v in want.values()) > 50
+    met, step = [], near_dedup._block_step
+    monkeypatch.setattr(near_dedup, "_block_step", lambda rest, *more: met.append(rest.count()) or step(rest, *more))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert met[0] <= 30 * len(rows)
+
+
 def test_recall_of_bands_and_sketches():
     """Of pairs at and above the threshold, no less than 99 in 100 share a band and have hopeful sketches."""
     draw, tool = np.random.default_rng(8), Sketcher(near_dedup.BANDS, near_dedup.ROWS)
