@@ -45,10 +45,11 @@ PIECE = 1 << 19
 SALTS = 16
 BROADCAST_IDS = 1_000_000
 #: Names of one anchor that a task holds at once, with some 40 windows each.
-HOT = 4000
+HOT = 100_000
 _P = 0x9E3779B97F4A7C15 | 1
 _SPREAD = np.int64(0x2545F4914F6CDD1D)
 _POWERS: list[np.ndarray] = []
+_TABLES = np.random.default_rng(20240612).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,38 +189,79 @@ def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in pairs], pa.int64()), pa.array([own] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(parts, pa.binary())], names=["h", "ord", "run", "part"])
 
 
+def _window_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each 100-byte window of all parts, a column a window."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    n = size - LEAST + 1
+    start = np.cumsum(size) - size
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    up, down = _powers(len(data))
+    out = []
+    for table in _TABLES:
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up, out=total[1:])
+        h = (total[at + LEAST] - total[at]) * down[at]
+        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+    return np.array(out), n
+
+
 def _late_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs sorted by (h, ord, run): spans of windows that an earlier run of the anchor has."""
-    now, seen = None, set()
+    """From runs sorted by (h, ord, run): spans of windows that an earlier run of the anchor has.
+
+    Windows of an anchor are ordered by one hash and equal where both are. Those of an anchor that may go on in the next batch are kept, in sorted arrays that double.
+    """
+    last, seen = None, []  # seen: the last anchor's windows
+
     for batch in batches:
-        out = []
-        for h, o, r, part in zip(*(c.to_pylist() for c in batch.columns)):
-            if h != now:
-                now, seen = h, set()
-            at, start = r // 128, -1
-            for i in range(r % 128):
-                w = part[i: i + LEAST]
-                if w in seen:
-                    if start < 0:
-                        start = i
-                else:
-                    seen.add(w)
-                    if start >= 0:
-                        out.append((o, at + start, at + i - 1 + LEAST))
-                        start = -1
-            if start >= 0:
-                out.append((o, at + start, at + r % 128 - 1 + LEAST))
-        cols = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ord", "s", "e"])
+        if not batch.num_rows:
+            continue
+        h, o, r = (batch.column(i).to_numpy() for i in range(3))
+        (x, y), n = _window_hashes(batch.column(3).to_pylist())
+        own = np.repeat(np.cumsum(np.r_[False, h[1:] != h[:-1]]), n)
+        order = np.lexsort((x, own))
+        ow, xs, ys = own[order], x[order], y[order]
+        late = np.ones(len(x), bool)
+        first = np.r_[True, (ow[1:] != ow[:-1]) | (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])]
+        late[order[first]] = False  # lexsort is stable: the first of equal ones is the earliest
+        if h[0] == last:
+            mine = np.flatnonzero((own == 0) & ~late)
+            for known in seen:
+                late[mine] |= _among(x[mine], y[mine], *known)
+        else:
+            seen = []
+        if h[-1] != h[0]:
+            seen = []
+        last = h[-1]
+        new = order[(ow == own[-1]) & ~late[order]]
+        seen.append((x[new], y[new]))
+        while len(seen) > 1 and len(seen[-2][0]) <= 2 * len(seen[-1][0]):
+            a, b = (np.concatenate(z) for z in zip(*seen[-2:]))
+            order = np.argsort(a, kind="stable")
+            seen[-2:] = [(a[order], b[order])]
+        row = np.repeat(np.arange(len(n)), n)
+        new = late & np.r_[True, ~late[:-1] | (row[1:] != row[:-1])]
+        end = late & np.r_[~late[1:] | (row[1:] != row[:-1]), True]
+        place = np.repeat(r // 128 - (np.cumsum(n) - n), n) + np.arange(len(x))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (o[row[new]], place[new], place[end] + LEAST)], names=["ord", "s", "e"])
+
+
+def _among(x: np.ndarray, y: np.ndarray, known: np.ndarray, also: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) are among (known, also), sorted by the first."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return (known[at] == x) & (also[at] == y)
 
 
 def _window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per window of a run, by digest: for anchors with very many names."""
     for batch in batches:
-        for o, r, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            n = r % 128
-            names = [xxhash.xxh3_128_digest(part[i: i + LEAST]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([o] * n, pa.int64()), pa.array(range(r // 128, r // 128 + n), pa.int64())], names=["name", "ord", "p"])
+        o, r, parts = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+        n = np.fromiter((len(p) - LEAST + 1 for p in parts), np.int64, len(parts))
+        names = [xxhash.xxh3_128_digest(p[i: i + LEAST]) for p in parts for i in range(len(p) - LEAST + 1)]
+        place = np.repeat(r // 128 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.repeat(o, n), pa.int64()), pa.array(place, pa.int64())], names=["name", "ord", "p"])
 
 
 def union(spans: np.ndarray) -> np.ndarray:

@@ -394,6 +394,23 @@ def test_substrings_random(spark, monkeypatch, hot, piece):
     assert n.sum() == len(text) - 99 and (first[1:] == first[:-1] + n[:-1]).all() and n.max() <= 81
 
 
+def test_windows_of_an_anchor_of_many_names():
+    """An anchor with the names that a large family of near copies has stays in one task, in little memory."""
+    import tracemalloc
+
+    draw = np.random.default_rng(13)
+    parts = [draw.integers(0, 256, 179, np.uint8).tobytes() for _ in range(6000)]
+    for i in range(50, 6000, 100):
+        parts[i] = parts[i][:30] + parts[i - 50][20:169]  # ten bytes on, 50 windows of an earlier run
+    rows = pa.table({"h": np.r_[np.full(5999, 7), 8], "ord": np.arange(6000), "run": np.full(6000, 1000 * 128 + 80), "part": pa.array(parts, pa.binary())})
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(substring_dedup._late_windows(iter(rows.to_batches(max_chunksize=500))))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out == [{"ord": i, "s": 1030, "e": 1179} for i in range(50, 6000, 100)]
+    assert substring_dedup.HOT > len(parts) and peak < 60e6, peak
+
+
 def test_substrings_of_hot_strings(spark):
     """A string of very many copies reaches the shuffle once a batch, and a run of one byte as one span."""
     passage = words(random.Random(3), 60, 10**6)
