@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,11 @@ SALTS = 16
 BROADCAST_IDS = 1_000_000
 #: Names of one anchor that a task holds at once, with some 40 windows each.
 HOT = 100_000
+#: Runs that are cut before they are passed on, some 140 bytes each.
+CUT = 100_000
 _P = 0x9E3779B97F4A7C15 | 1
+#: Bits of a place in a piece.
+_PLACE = np.uint64(2 * PIECE - 1)
 _SPREAD = np.int64(0x2545F4914F6CDD1D)
 _POWERS: list[np.ndarray] = []
 _TABLES = np.random.default_rng(20240612).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,15 +82,14 @@ def runs(text: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray,
         h = (total[gram:] - total[:-gram]) * down[: len(piece) - gram + 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        least_h = (h >> np.uint64(32)).astype(np.uint32)
-        where = np.arange(len(h), dtype=np.int32)
+        # A hash's upper bits and its place in one number: its least is the least hash, leftmost on ties.
+        key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         wide, target = 1, least - gram + 1
         while wide < target:  # least over [i, i + wide) for growing widths
             step = min(wide, target - wide)
-            keep = least_h[:-step] <= least_h[step:]
-            where = np.where(keep, where[:-step], where[step:])
-            least_h = np.minimum(least_h[:-step], least_h[step:])
+            key = np.minimum(key[:-step], key[step:])
             wide += step
+        where = (key & _PLACE).view(np.int64)
         first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         out.append((first + at, np.diff(np.append(first, len(where))), h[where[first]].view(np.int64)))
     if not out:
@@ -180,13 +184,28 @@ def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each run of a text."""
+    """The bytes of each run of a text; a batch out per batch in, or per ``CUT`` runs where texts are long."""
+    def rows(own, h, at, parts) -> pa.RecordBatch:
+        cols = (np.concatenate(x) for x in (h, own, at))
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(parts, pa.binary())], names=["h", "ord", "run", "part"])
+
     for batch in batches:
-        for ords, text, pairs in zip(*(batch.column(i) for i in range(3))):
-            text, own, pairs = text.as_py(), ords.as_py(), pairs.as_py()
-            at = [x["run"] for x in pairs]
-            parts = [text[a // 128: a // 128 + a % 128 + LEAST - 1] for a in at]
-            yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in pairs], pa.int64()), pa.array([own] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(parts, pa.binary())], names=["h", "ord", "run", "part"])
+        pairs, ends = batch.column(2).flatten(), np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+        h, run = (pairs.field(i).to_numpy() for i in range(2))
+        out, lo = ([], [], [], []), 0
+        for text, own, hi in zip(batch.column(1), batch.column(0).to_pylist(), ends.tolist()):
+            text, at = text.as_py(), run[lo:hi]
+            out[0].append(np.full(hi - lo, own))
+            out[1].append(h[lo:hi])
+            out[2].append(at)
+            first = at // 128
+            out[3].extend([text[i:j] for i, j in zip(first.tolist(), (first + at % 128 + LEAST - 1).tolist())])
+            lo = hi
+            if len(out[3]) >= CUT:
+                yield rows(*out)
+                out = ([], [], [], [])
+        if out[3]:
+            yield rows(*out)
 
 
 def _window_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -307,11 +326,13 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     open_ = left.filter("e < 0").groupBy("ord").agg(F.collect_list(F.struct("h", "run")).alias("pairs"))
     own = once.join(_few(left.filter("e < 0").select("ord").distinct()), "ord", "left_semi").join(open_, "ord").select("ord", "text", "pairs")
-    pieces = stage(own.mapInArrow(_cut_runs, "h long, ord long, run long, part binary"), "pieces")
-    release(spark)
+    pieces = own.mapInArrow(_cut_runs, "h long, ord long, run long, part binary")
     # Anchors with more names than one task should hold: at most one in HOT rows.
     hot = stage(left.filter("e < 0").groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(F.col("h").alias("g")), "hot")
     many_hot = hot.count()
+    if many_hot:  # they are read twice
+        pieces = stage(pieces, "pieces")
+        release(spark)
     cool = pieces.join(_few(hot), F.col("h") == F.col("g"), "left_anti") if many_hot else pieces
     late = cool.repartition(parts, "h").sortWithinPartitions("h", "ord", "run").mapInArrow(_late_windows, "ord long, s long, e long")
     if many_hot:

@@ -411,6 +411,31 @@ def test_windows_of_an_anchor_of_many_names():
     assert substring_dedup.HOT > len(parts) and peak < 60e6, peak
 
 
+def test_runs_are_cut_in_whole_batches(spark, monkeypatch):
+    """The bytes of runs leave in a batch for many texts, or for a bounded number of runs, and are no table of files unless an anchor is hot."""
+    texts = [bytes(range(65, 91)) * 8 + bytes([i]) * 9 for i in range(50)]
+    pairs = [[{"h": i, "run": 3 * 128 + 5}, {"h": -i, "run": 100 * 128 + 1}][: 1 + i % 2] for i in range(50)]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("run", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts, pa.binary()), pa.array(pairs, kind)], names=["ord", "text", "pairs"])
+    want = [{"h": x["h"], "ord": i, "run": x["run"], "part": texts[i][x["run"] // 128:][: x["run"] % 128 + 99]} for i in range(50) for x in pairs[i]]
+    out = list(substring_dedup._cut_runs(iter([batch, batch.slice(0, 0), batch.slice(7, 20)])))
+    assert [b.num_rows for b in out] == [75, 30] and pa.Table.from_batches(out).to_pylist() == want + [x for x in want if 7 <= x["ord"] < 27]
+    monkeypatch.setattr(substring_dedup, "CUT", 20)
+    out = list(substring_dedup._cut_runs(iter([batch])))
+    assert max(b.num_rows for b in out) <= 21 and pa.Table.from_batches(out).to_pylist() == want
+
+    written, plain = [], substring_dedup.stage
+    monkeypatch.setattr(substring_dedup, "stage", lambda df, tag: written.append(tag) or plain(df, tag))
+    draw = random.Random(4)
+    passage = words(draw, 40, 10**6)
+    rows = [(i, f"{words(draw, 30, 10**6)} {passage[:150 + i]} {words(draw, 30, 10**6)}") for i in range(20)]
+    check_removed(spark, rows)
+    assert "pieces" not in written and "runs" in written
+    monkeypatch.setattr(substring_dedup, "HOT", 1)
+    check_removed(spark, rows)
+    assert "pieces" in written
+
+
 def test_substrings_of_hot_strings(spark):
     """A string of very many copies reaches the shuffle once a batch, and a run of one byte as one span."""
     passage = words(random.Random(3), 60, 10**6)
