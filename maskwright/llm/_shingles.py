@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _COEF = np.random.default_rng(20240611).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class WordHashes(dict):
-    """Hashes of words; a bounded memory, as vocabularies grow with the corpus."""
-
-    most = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-WORDS = WordHashes()
+#: Bytes of text whose words are hashed together; bounds memory on very long texts.
+PIECE = 1 << 19
+#: Words of more bytes are hashed one by one: sums over bytes can be made to collide on long strings.
+LONG_WORD = 64
+_P = 0x9E3779B97F4A7C15 | 1
+_POWERS: list[np.ndarray] = []
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IN_WORD = np.array([not _SPACE.match(bytes([b])) for b in range(256)])
+_BYTES = np.random.default_rng(20240613).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << (n - 1).bit_length(), 1 << 14)
+        out = []
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _POWERS[:] = out
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,22 +40,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, A-Z as a-z, by differences of running sums over the bytes."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):  # up to the end of the word that lies across
+            cut = _SPACE.search(text, end)
+            end = cut.start() if cut else len(text)
+        data = np.frombuffer(text[at:end], np.uint8)
+        edges = np.flatnonzero(np.diff(_IN_WORD[data], prepend=False, append=False))
+        first, last = edges[::2], edges[1::2]
+        up, down = powers(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * up, out=total[1:])
+        h = mix((total[last] - total[first]) * down[first])
+        for i in np.flatnonzero(last - first > LONG_WORD):
+            h[i] = xxhash.xxh3_64_intdigest(text[at + first[i]: at + last[i]].lower())
+        out.append(h)
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles, A-Z lower-cased.
 
     Words are separated by \\x20 and \\x09-\\x0D. A text of fewer words than
     ``width`` has its whole sequence as one shingle; one without words has none.
     """
-    words = text.lower().split() if text else []  # of bytes: ASCII rules only
-    n = len(words)
+    h = word_hashes(text or b"")
+    n = len(h)
     if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, n)
+        return h
     wide = min(width, n)
     total = np.full(n - wide + 1, wide, np.uint64) * _COEF[-1]
     for j in range(wide):
         total += h[j: n - wide + 1 + j] * _COEF[j]
-    return np.unique(mix(total))
+    total = mix(total)
+    total.sort()
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def set_digest(hashes: np.ndarray) -> bytes | None:

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.llm._shingles import powers
 from maskwright.llm._store import discard, numbered, prepare, release, stage
 
 LEAST = 100
@@ -49,26 +50,12 @@ BROADCAST_IDS = 1_000_000
 HOT = 100_000
 #: Runs that are cut before they are passed on, some 140 bytes each.
 CUT = 100_000
-_P = 0x9E3779B97F4A7C15 | 1
 #: Bits of a place in a piece.
 _PLACE = np.uint64(2 * PIECE - 1)
 _SPREAD = np.int64(0x2545F4914F6CDD1D)
-_POWERS: list[np.ndarray] = []
 _TABLES = np.random.default_rng(20240612).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 14)
-        out = []
-        for base in (_P, pow(_P, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[:] = out
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def runs(text: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and anchor hash of each run of windows with one anchor."""
     out = []
@@ -76,7 +63,7 @@ def runs(text: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray,
     data = np.frombuffer(text, np.uint8)
     for at in range(0, max(windows, 0), PIECE):
         piece = data[at: min(at + PIECE, windows) + least - 1]
-        up, down = _powers(len(piece))
+        up, down = powers(len(piece))
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
         h = (total[gram:] - total[:-gram]) * down[: len(piece) - gram + 1]
@@ -215,7 +202,7 @@ def _window_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = size - LEAST + 1
     start = np.cumsum(size) - size
     at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     out = []
     for table in _TABLES:
         total = np.zeros(len(data) + 1, np.uint64)

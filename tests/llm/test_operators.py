@@ -4,6 +4,7 @@ import collections
 import hashlib
 import importlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.llm import lang_id, license_scan, mixing, near_dedup, packing, quality, substring_dedup, topk, url_filter, warc
+from maskwright.llm import _shingles, lang_id, license_scan, mixing, near_dedup, packing, quality, substring_dedup, topk, url_filter, warc
 from maskwright.llm._shingles import Sketcher, shingle_hashes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -394,6 +395,32 @@ def test_substrings_random(spark, monkeypatch, hot, piece):
     assert n.sum() == len(text) - 99 and (first[1:] == first[:-1] + n[:-1]).all() and n.max() <= 81
 
 
+def test_words_are_hashed_as_arrays(monkeypatch):
+    """Words are equal by hash where they are equal with A-Z lower-cased, and a text of new words costs no Python call a word."""
+    draw = random.Random(8)
+    spaces, odd = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  \n"], ["\x00", "\x00\x00", "\x1c", "\x85", "\u00c9", "\u00e9", "\u2003", "a", "A", "aB", "Ab", "ba", "x" * 64, "X" * 65, "x" * 65, "y" * 300]
+    for piece in (1 << 19, 40):
+        monkeypatch.setattr(_shingles, "PIECE", piece)
+        for n in (0, 1, 2, 3, 200):
+            text = draw.choice(["", " "]) + "".join(draw.choice([*odd, words(draw, 1, 300)]) + draw.choice(spaces) for _ in range(n)) + draw.choice(["", "end"])
+            plain = text.encode().lower().split()
+            h = _shingles.word_hashes(text.encode()).tolist()
+            assert len(h) == len(plain) and len(set(h)) == len(set(plain)) == len(set(zip(h, plain)))
+            for width in (1, 3, 5):
+                sets = {tuple(plain[i: i + width]) for i in range(max(1, len(plain) - width + 1))} if plain else set()
+                found = shingle_hashes(text.encode(), width)
+                assert len(found) == len(sets) and (found[1:] > found[:-1]).all()
+    monkeypatch.undo()
+    calls = []
+    text = " ".join(f"{i:x}" for i in range(20_000)).encode()
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        shingle_hashes(text, 5)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 500, len(calls)
+
+
 def test_windows_of_an_anchor_of_many_names():
     """An anchor with the names that a large family of near copies has stays in one task, in little memory."""
     import tracemalloc
