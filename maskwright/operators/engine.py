@@ -45,6 +45,8 @@ class Config:
     strategy: Strategy | None = REDACT
     extra: tuple[Detector, ...] = field(default=(), repr=False)
     only: tuple[str, ...] | None = None
+    #: True: every detector's findings, also those that overlap others.
+    overlaps: bool = False
 
     def __post_init__(self) -> None:
         if not 0.0 <= self.min_confidence <= 1.0:
@@ -72,7 +74,7 @@ class Config:
 
     def findings(self, text: str) -> list[Finding]:
         """Findings of one text, with code-point offsets."""
-        return resolve.scan(text, self.detectors(), self.min_confidence, frozenset(self.exclude), self.allow, self.deny)
+        return resolve.scan(text, self.detectors(), self.min_confidence, frozenset(self.exclude), self.allow, self.deny, self.overlaps)
 
 
 def finding_rows(text: str, findings: list[Finding]) -> list[dict]:

@@ -214,3 +214,17 @@ def test_directory_trees(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path.removeprefix(str(tmp_path) + "/"): (r.format, r.skipped) for r in readers.read_tree(spark, f"file://{tmp_path}").collect()}
     assert got == {"a/b.json": ("json", False), "c.csv": ("csv", False), "d.bin": ("text", True), "e.txt": ("text", True)}
+
+
+@pytest.mark.parametrize("name", ["audit_by_file", "encrypt_roundtrip", "findings_by_type", "mask_custom", "mask_hash", "mask_partial", "mask_replace", "rollup_by_source", "sarif_rules", "severity_rollup", "stream_counts"])
+def test_findings_that_overlap_are_all_reported(spark, tmp_path, name):
+    """A card number that runs into an address, and an address in a mail."""
+    rows = [(1, "tel 555-6433 48.95.59.146 x", "en", "web", 27), (2, "1.2.3.4@x.com and 48.95.59.146", "en", None, 30), (3, "none", "en", "web", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = _rows(con.execute(queries.oracle_sql()[name]).df())
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    (sf / "documents.parquet").write_bytes(next((tmp_path / "documents.parquet").glob("*.parquet")).read_bytes())
+    assert _rows(queries.queries()[name](spark, str(sf)).toPandas()) == want
