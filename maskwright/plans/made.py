@@ -312,8 +312,7 @@ def sarif_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "sarif") + ".json"
     reports.write_sarif(_mixed_findings(spark, sf_dir).filter("entity_type in ('CreditCard', 'Email', 'Ssn')"), path)
     result = "struct<ruleId:string,ruleIndex:int,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint,startColumn:bigint,endColumn:bigint>>>>>"
-    log = spark.read.schema(f"version string, runs array<struct<results:array<{result}>>>").json(path, multiLine=True)
-    r = log.select("version", F.explode(F.col("runs")[0]["results"]).alias("r")).withColumn("at", F.col("r.locations")[0]["physicalLocation"])
+    r = reports.read_sarif(spark, path, result).withColumn("at", F.col("r.locations")[0]["physicalLocation"])
     return r.select("version", F.col("r.ruleId").alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"), F.col("r.level").alias("level"), F.col("at.artifactLocation.uri").alias("uri"), F.col("at.region.startLine").alias("start_line"), F.col("at.region.startColumn").alias("start_column"))
 
 

@@ -98,9 +98,8 @@ def sarif_rules(results: DataFrame) -> DataFrame:
     return rules.withColumn("rule_index", (F.row_number().over(Window.orderBy("rule_id")) - 1).cast("long"))
 
 
-def _sarif_results(findings: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
-    """Rules, and results as JSON with the columns that order them."""
-    results = sarif_results(findings, uri)
+def _sarif_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules, and flat results as JSON with the columns that order them."""
     rules = sarif_rules(results)
     region = F.struct(F.col("start_line").alias("startLine"), F.col("start_column").alias("startColumn"), F.col("start_line").alias("endLine"), F.col("end_column").alias("endColumn"))
     result = F.struct(
@@ -127,7 +126,7 @@ def _sarif_head(rules: DataFrame, tool: str) -> str:
 
 def sarif_lines(findings: DataFrame, uri: str = "path", tool: str = "maskwright") -> Iterator[str]:
     """The SARIF 2.1.0 document in pieces: its head, a result at a time in order, its end. Holds one partition."""
-    rules, results = _sarif_results(findings, uri)
+    rules, results = _sarif_results(sarif_results(findings, uri))
     yield _sarif_head(rules, tool)
     comma = ""
     for r in results.orderBy("uri", "start_line", "start_column", "fingerprint").toLocalIterator():
@@ -137,10 +136,15 @@ def sarif_lines(findings: DataFrame, uri: str = "path", tool: str = "maskwright"
 
 
 def write_sarif(findings: DataFrame, path: str, uri: str = "path", tool: str = "maskwright") -> None:
-    """Write the SARIF document as one file: executors sort and write the results, the driver only joins their files byte by byte."""
+    """Write the SARIF document as one file: executors sort and write the results, the driver only joins their files byte by byte.
+
+    Texts are scanned once: rules and order come from the flat results, which are written first. Each result has a line of its own, for read_sarif.
+    """
     spark = findings.sparkSession
-    rules, results = _sarif_results(findings, uri)
-    parts = f"{path}.parts"
+    work = f"{path}.parts"
+    flat, parts = f"{work}/flat", f"{work}/text"
+    sarif_results(findings, uri).write.mode("overwrite").parquet(flat)
+    rules, results = _sarif_results(spark.read.parquet(flat))
     # Each result ends in a comma and a line end; the last comma is made harmless by leaving the last result's out.
     results.orderBy("uri", "start_line", "start_column", "fingerprint").select("value").write.mode("overwrite").option("lineSep", ",\n").text(parts)
     hadoop, copy = spark._jvm.org.apache.hadoop, spark._jvm.org.apache.commons.io.IOUtils.copyLarge
@@ -149,14 +153,29 @@ def write_sarif(findings: DataFrame, path: str, uri: str = "path", tool: str = "
     fs = folder.getFileSystem(conf)
     files = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen())
     out = fs.create(target, True)
-    out.write(bytearray(_sarif_head(rules, tool).encode()))
+    out.write(bytearray(f"{_sarif_head(rules, tool)}\n".encode()))
     for k, (name, size) in enumerate(files):
         source = fs.open(hadoop.fs.Path(folder, name))
         copy(source, out, 0, size - 2 * (k == len(files) - 1))
         source.close()
-    out.write(bytearray(b"]}]}"))
+    out.write(bytearray(b"\n]}]}"))
     out.close()
-    fs.delete(folder, True)
+    fs.delete(hadoop.fs.Path(work), True)
+
+
+def read_sarif(spark: SparkSession, path: str, result: str) -> DataFrame:
+    """(version, r): a row per result of a SARIF document, as a struct of the given type.
+
+    A document of write_sarif is read in splits, line by line; others are read whole, by one task.
+    """
+    lines = spark.read.text(path)
+    value = F.col("value")
+    head = lines.filter(value.startswith('{"$schema"') & value.endswith('"results": [')).first()
+    if head is None:
+        whole = spark.read.schema(f"version string, runs array<struct<results:array<{result}>>>").json(path, multiLine=True)
+        return whole.select("version", F.explode(F.flatten("runs.results")).alias("r"))
+    version = json.loads(head.value + "]}]}")["version"]
+    return lines.filter(value.startswith('{"ruleId"')).select(F.lit(version).alias("version"), F.from_json(F.regexp_replace("value", ",$", ""), result).alias("r"))
 
 
 def check_sarif(text: str) -> None:

@@ -228,3 +228,22 @@ def test_findings_that_overlap_are_all_reported(spark, tmp_path, name):
     sf.mkdir()
     (sf / "documents.parquet").write_bytes(next((tmp_path / "documents.parquet").glob("*.parquet")).read_bytes())
     assert _rows(queries.queries()[name](spark, str(sf)).toPandas()) == want
+
+
+def test_sarif_is_read_in_splits(spark, tmp_path):
+    """No task reads the whole of a document of write_sarif; documents from elsewhere are read too."""
+    rows = [(f"f{i % 7}.txt", f"line:{i}", "Email" if i % 3 else "CreditCard", i, i + 5, 0.9, "r") for i in range(500)]
+    found = spark.createDataFrame(rows, "path string, location string, entity_type string, start int, end int, confidence double, recognizer_id string")
+    path = f"file://{tmp_path}/a.sarif"
+    reports.write_sarif(found, path)
+    (tmp_path / "b.sarif").write_text(json.dumps(json.loads((tmp_path / "a.sarif").read_text()), indent=1))
+    kind, before = "struct<ruleId:string,ruleIndex:int,locations:array<struct<physicalLocation:struct<region:struct<startLine:bigint>>>>>", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+        split, whole = (reports.read_sarif(spark, p, kind) for p in (path, f"file://{tmp_path}/b.sarif"))
+        assert split.rdd.getNumPartitions() > 5
+        got = sorted((r.version, r.r.ruleId, r.r.ruleIndex, r.r.locations[0].physicalLocation.region.startLine) for r in split.collect())
+        assert got == sorted((r.version, r.r.ruleId, r.r.ruleIndex, r.r.locations[0].physicalLocation.region.startLine) for r in whole.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [g[3] for g in sorted(got, key=lambda g: g[3])] == list(range(500))
