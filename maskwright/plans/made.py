@@ -16,6 +16,7 @@ from maskwright.functions.detectors import Detector, Finding
 from maskwright.operators import masking as M
 from maskwright.operators.engine import Config, findings_table, mapping_table, mask_findings, restore, sanitize, scan, scan_column
 from maskwright.plans import corpus, reports
+from maskwright.shipping import spread
 from maskwright.sources import readers
 from maskwright.streaming import streams
 
@@ -151,7 +152,7 @@ def _spark_literal(sql: str) -> str:
 
 def _type_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.array(*[F.struct(F.lit(t).alias("entity_type"), F.expr(_spark_literal(v)).alias("v")) for t, (v, _, _) in _TYPES.items()])
-    return _orders(spark, sf_dir).select("o_orderkey", F.inline(each))
+    return spread(_orders(spark, sf_dir).select("o_orderkey", "o_custkey")).select("o_orderkey", F.inline(each))
 
 
 def mask_partial_types(spark: SparkSession, sf_dir: str) -> DataFrame:

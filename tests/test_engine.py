@@ -247,3 +247,9 @@ def test_sarif_is_read_in_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [g[3] for g in sorted(got, key=lambda g: g[3])] == list(range(500))
+
+
+def test_masks_are_made_by_code_that_is_compiled(spark):
+    """No method of a mask over all types is longer than what the JVM compiles, or Spark makes it in parts."""
+    M.replacement(F.col("k"), F.col("x"), M.Strategy("replace"))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= M.JIT_BYTES
