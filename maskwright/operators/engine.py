@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,43 @@ def finding_rows(text: str, findings: list[Finding]) -> list[dict]:
     return out
 
 
+def _byte_spans(text: str, found: list[Finding]) -> tuple[list[int], list[int]]:
+    """Starts and ends of findings in bytes."""
+    if text.isascii():
+        return [f.start for f in found], [f.end for f in found]
+    where, byte, at = {}, 0, 0
+    for c in sorted({x for f in found for x in (f.start, f.end)}):
+        byte += len(text[at:c].encode())
+        where[c] = byte
+        at = c
+    return [where[f.start] for f in found], [where[f.end] for f in found]
+
+
+def _lists(offsets: list[int], columns: Iterable[Iterable], kind: pa.StructType) -> pa.Array:
+    """Arrays of structs from the columns of all their elements."""
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+
+def finding_array(texts: list[str | None], found: list[list[Finding]]) -> pa.Array:
+    """What finding_rows gives for each text, made column by column."""
+    offsets, flat, starts, ends, applies = [0], [], [], [], []
+    for t, fs in zip(texts, found):
+        if fs:
+            flat += fs
+            s, e = _byte_spans(t, fs)
+            starts += s
+            ends += e
+            if len(fs) == 1:
+                applies.append(True)
+            else:
+                masked = set(map(id, resolve.disjoint(fs)))
+                applies += [id(f) in masked for f in fs]
+        offsets.append(len(flat))
+    kinds, cstarts, cends, values, confidences, ids = zip(*flat) if flat else [()] * 6
+    return _lists(offsets, (kinds, starts, ends, cstarts, cends, values, confidences, ids, applies), FINDING)
+
+
 def with_column(df: DataFrame, source: str, target: str, make: Callable[[list[str | None]], pa.Array], ddl: str) -> DataFrame:
     """df with a column made from the texts of another, in one crossing to Python."""
     ship_package(df.sparkSession)
@@ -112,7 +150,7 @@ def with_column(df: DataFrame, source: str, target: str, make: Callable[[list[st
 def scan_column(df: DataFrame, text: str, config: Config = Config(), target: str = "findings") -> DataFrame:
     """df with an array of findings of a text column; null texts have none."""
     def make(texts: list[str | None]) -> pa.Array:
-        return pa.array([finding_rows(t, config.findings(t)) if t else [] for t in texts], pa.list_(FINDING))
+        return finding_array(texts, [config.findings(t) if t else [] for t in texts])
 
     return with_column(df, text, target, make, f"array<{FINDING_DDL}>")
 
@@ -168,18 +206,24 @@ def mask_findings(df: DataFrame, text: str, findings: str = "findings", strategy
 
 def sanitize(df: DataFrame, text: str, config: Config = Config(), style: str = "brackets") -> DataFrame:
     """df with ``clean_text`` and its restore ``mapping``; treat the mapping as a secret."""
-    kind = pa.struct([("clean_text", pa.string()), ("mapping", pa.list_(_MAPPING))])
-
-    def one(t: str | None) -> dict:
-        if t is None:
-            return {"clean_text": None, "mapping": []}
-        found = config.findings(t)
-        clean, mapping = resolve.sanitize(t, found, style)
-        spans = {id(f): r for f, r in zip(found, finding_rows(t, found))} if mapping else {}
-        rows = [{"placeholder": p, "entity_type": f.entity_type, "original": f.text, "span_start": spans[id(f)]["start"], "span_end": spans[id(f)]["end"], "confidence": f.confidence, "recognizer_id": f.recognizer_id} for p, f in mapping]
-        return {"clean_text": clean, "mapping": rows}
-
-    out = with_column(df, text, "__sanitized", lambda ts: pa.array([one(t) for t in ts], kind), f"struct<clean_text:string,mapping:array<{MAPPING_DDL}>>")
+    def make(texts: list[str | None]) -> pa.Array:
+        offsets, cleaned, marks, flat, starts, ends = [0], [], [], [], [], []
+        for t in texts:
+            clean, mapping = (None, ()) if t is None else resolve.sanitize(t, config.findings(t), style)
+            cleaned.append(clean)
+            if mapping:
+                fs = [f for _, f in mapping]
+                s, e = _byte_spans(t, fs)
+                marks += [p for p, _ in mapping]
+                flat += fs
+                starts += s
+                ends += e
+            offsets.append(len(flat))
+        kinds, _, _, values, confidences, ids = zip(*flat) if flat else [()] * 6
+        entries = _lists(offsets, (marks, kinds, values, starts, ends, confidences, ids), _MAPPING)
+        return pa.StructArray.from_arrays([pa.array(cleaned, pa.string()), entries], ["clean_text", "mapping"])
+
+    out = with_column(df, text, "__sanitized", make, f"struct<clean_text:string,mapping:array<{MAPPING_DDL}>>")
     return out.select(*df.columns, F.col("__sanitized.clean_text").alias("clean_text"), F.col("__sanitized.mapping").alias("mapping"))
 
 
@@ -194,7 +238,12 @@ def restore(df: DataFrame, text: str, mapping: str = "mapping", target: str = "r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if t is None else resolve.restore(t, ((e["placeholder"], e["original"]) for e in m or ()), strict) for t, m in zip(b.column(i).to_pylist(), b.column(j).to_pylist())]
+            entries, out, at = b.column(j).flatten(), [], 0
+            marks, originals = (pc.struct_field(entries, c).to_pylist() for c in ("placeholder", "original"))
+            for t, n in zip(b.column(i).to_pylist(), pc.list_value_length(b.column(j)).to_pylist()):
+                upto = at + (n or 0)
+                out.append(None if t is None else resolve.restore(t, zip(marks[at:upto], originals[at:upto]), strict))
+                at = upto
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, target])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

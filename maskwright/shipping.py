@@ -30,8 +30,8 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-#: Bytes of input below which one task is as good as many.
-LEAST_BYTES = 1 << 16
+#: Bytes of input below which one task is as good as many, and bytes for a task where input is spread: rows may be short, and each costs a scan.
+LEAST_BYTES, TASK_BYTES = 1 << 16, 1 << 21
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -42,4 +42,4 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if LEAST_BYTES < size < cores * split else df
+    return df.repartition(max(cores, -(-size // TASK_BYTES))) if LEAST_BYTES < size < cores * split else df

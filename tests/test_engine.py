@@ -253,3 +253,28 @@ def test_masks_are_made_by_code_that_is_compiled(spark):
     """No method of a mask over all types is longer than what the JVM compiles, or Spark makes it in parts."""
     M.replacement(F.col("k"), F.col("x"), M.Strategy("replace"))
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= M.JIT_BYTES
+
+
+def test_short_rows_are_spread_by_bytes(spark, tmp_path):
+    """More tasks than cores where rows are short, so that no task grows with the input."""
+    spark.range(0, 4_000_000, 1, 2).selectExpr("id", "cast(id * 7919 % 1000003 as string) as t").write.parquet(f"{tmp_path}/t")
+    out = E.scan_column(spark.read.parquet(f"{tmp_path}/t"), "t", E.Config("US", 0.5))
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    assert size > 8 << 20 and out.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_columns_of_findings_equal_their_rows():
+    texts = ["é mail a@b.co 10.0.0.1", None, "", "see https://h.io/?m=u1%40x.com", "no", "contact: x y z a@b.co server 10.0.0.7"]
+    found = [E.Config("US", 0.5).findings(t) if t else [] for t in texts]
+    assert E.finding_array(texts, found).to_pylist() == [E.finding_rows(t, f) if t else [] for t, f in zip(texts, found)]
+
+
+def test_words_that_are_kept_equal_words_that_are_read():
+    from maskwright.functions import context
+
+    draw = random.Random(2)
+    for _ in range(300):
+        text = "".join(draw.choice("aB =:-.é") for _ in range(draw.randrange(1, 40)))
+        start = draw.randrange(len(text))
+        end = draw.randrange(start, len(text) + 1)
+        assert context._words_around(text, start, end, 5, 3) == (context.words_before(text, start, 5), context.words_after(text, end, 3))
