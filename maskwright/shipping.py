@@ -31,7 +31,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 #: Bytes of input below which one task is as good as many, and bytes for a task where input is spread: rows may be short, and each costs a scan.
-LEAST_BYTES, TASK_BYTES = 1 << 16, 1 << 21
+LEAST_BYTES, TASK_BYTES = 1 << 16, 1 << 19
 
 
 def spread(df: DataFrame) -> DataFrame:
